@@ -36,30 +36,45 @@ def stage(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of an Arrow batch at most, so that a batch of long texts stays small.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to BATCH_ROWS, unless they are smaller."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def text_slices(batches: Iterable[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batches in slices of about `most` bytes of text; null text becomes empty."""
+def text_slices(batches: Iterable[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES, rows: int = 4096) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about `most` bytes of text and at most `rows` rows; null text becomes empty."""
     for batch in batches:
         at = batch.schema.get_field_index(column)
-        texts = pc.fill_null(batch.column(at), "")
+        texts = batch.column(at)
         if not batch.num_rows:
             continue
-        batch = batch.set_column(at, pa.field(column, texts.type), texts)
+        if texts.null_count:
+            texts = pc.fill_null(texts, "")
+            batch = batch.set_column(at, pa.field(column, texts.type), texts)
         ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
         begin = 0
         while begin < len(ends):
             before = ends[begin - 1] if begin else 0
-            end = max(begin + 1, int(np.searchsorted(ends, before + most, side="right")))
+            end = min(begin + rows, max(begin + 1, int(np.searchsorted(ends, before + most, side="right"))))
             yield batch.slice(begin, end - begin)
             begin = end
 
 
 def packed_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all texts in a row, and the n + 1 offsets of the texts in them."""
-    texts = pc.fill_null(texts, "")
+    if texts.null_count:
+        texts = pc.fill_null(texts, "")
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     texts = texts.cast(pa.large_string())
