@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import new_path, stage, text_slices
-from .tokens import encode_column
+from .tokens import encode_column, vocabulary_size
 
 MAGIC, HEAD = b"HUF1", struct.Struct("<4sIIII")
 #: Ids between bit-offset checkpoints, and ids of a block; a longer document is a block of its own.
@@ -151,35 +151,47 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str | None = None
     blocks) give the blocks' order. Null
     text is empty, so its document holds the end id alone; rows with a null id are left out, as they
     have no place in the order; rows with equal ids all stay. Ids are counted over all documents. An empty table gives
-    no blocks. Three passes over staged ids, each of bounded memory; one shuffle, by ranges of the id.
+    no blocks. Every task also stages the counts of its ids, so the global counts need no pass over them; one shuffle, by ranges of the id.
     """
     spark = docs.sparkSession
     folder = folder or new_path(spark, "tokens")
-    end = np.array([end_id], "<u4").tobytes()
+    narrow = max(end_id + 1, vocabulary_size(tokenizer_path)) <= 1 << 16  # staged ids then take two bytes
+    width = 2 if narrow else 4
 
     def tokens(batches):
+        counts = np.zeros(0, np.int64)
         for batch in text_slices(batches):
-            blobs = encode_column(batch.column("text"), tokenizer_path, end)
-            ids = pa.array(blobs, pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([len(b) // 4 for b in blobs], pa.int64()), pa.array([zlib.crc32(b) for b in blobs], pa.int64()), ids], ["id", "n", "crc", "ids"])
+            flat, offsets = encode_column(batch.column("text"), tokenizer_path, end_id)
+            seen = np.bincount(flat, minlength=len(counts))
+            seen[: len(counts)] += counts
+            counts = seen
+            raw, sizes = flat.astype(f"<u{width}").tobytes(), np.diff(offsets)
+            cuts = offsets.tolist()
+            ids = [raw[width * x : width * y] for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+            checks = [zlib.crc32(x) for x in ids]  # breaks ties of equal ids
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), pa.array(sizes, pa.int64()), pa.array(checks, pa.int64()), pa.array(ids, pa.binary()), pa.nulls(len(ids), pa.binary())],
+                ["id", "n", "crc", "ids", "counts"],
+            )
+        if len(counts):  # one more row for each task
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64())] * 3 + [pa.nulls(1, pa.binary()), pa.array([counts.astype("<i8").tobytes()], pa.binary())], ["id", "n", "crc", "ids", "counts"])
 
     texts = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    staged = stage(texts.mapInArrow(tokens, "id long, n long, crc long, ids binary"), "token-ids")
+    staged = stage(texts.mapInArrow(tokens, "id long, n long, crc long, ids binary, counts binary"), "token-ids")
 
     def histogram(batches):
         total = np.zeros(0, np.int64)
         for batch in batches:
-            blobs = batch.column("ids").to_pylist()
-            for k in range(0, len(blobs), 1000):
-                c = np.bincount(np.frombuffer(b"".join(blobs[k : k + 1000]), "<u4"))
-                if len(c) > len(total):
-                    total = np.pad(total, (0, len(c) - len(total)))
-                total[: len(c)] += c
+            for blob in batch.column("counts").to_pylist():
+                more = np.frombuffer(blob, "<i8")
+                if len(more) > len(total):
+                    total = np.pad(total, (0, len(more) - len(total)))
+                total[: len(more)] += more
         used = np.flatnonzero(total)
         if len(used):
             yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], ["token", "n"])
 
-    counted = staged.select("ids").mapInArrow(histogram, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    counted = staged.select("counts").filter("counts is not null").mapInArrow(histogram, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     lengths = code_lengths({r.token: r.n for r in counted.collect()}, max_bits)  # a row for each id of the vocabulary
     spark.createDataFrame(sorted(lengths.items()), "token long, bits int").coalesce(1).write.mode("overwrite").parquet(f"{folder}/codes")
 
@@ -192,22 +204,22 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str | None = None
         held = 0
 
         def flush():
-            sizes = np.array([len(b) // 4 for b in ids], np.int64)
-            block = write_block(code, np.array(keys, np.int64), sizes, np.frombuffer(b"".join(ids), "<u4"))
+            sizes = np.array([len(b) // width for b in ids], np.int64)
+            block = write_block(code, np.array(keys, np.int64), sizes, np.frombuffer(b"".join(ids), f"<u{width}"))
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([before], pa.int64()), pa.array([int(sizes.sum())], pa.int64()), pa.array([block], pa.binary())], ["part", "before", "n_ids", "block"])
 
         for batch in batches:
             for key, blob in zip(batch.column("id").to_pylist(), batch.column("ids").to_pylist(), strict=True):
-                if held and held + len(blob) // 4 > BLOCK_IDS:
+                if held and held + len(blob) // width > BLOCK_IDS:
                     yield flush()
                     ids, keys, held, before = [], [], 0, before + held
                 ids.append(blob)
                 keys.append(key)
-                held += len(blob) // 4
+                held += len(blob) // width
         if ids:
             yield flush()
 
-    ordered = staged.repartitionByRange("id", "n", "crc").sortWithinPartitions("id", "n", "crc").select("id", "ids")
+    ordered = staged.filter("id is not null").select("id", "n", "crc", "ids").repartitionByRange("id", "n", "crc").sortWithinPartitions("id", "n", "crc").select("id", "ids")
     ordered.mapInArrow(blocks, "part long, before long, n_ids long, block binary").write.mode("overwrite").option("compression", "none").parquet(f"{folder}/blocks")
     return folder
 

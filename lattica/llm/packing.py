@@ -110,19 +110,18 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int
     staged table; the plan is made on the driver from at most `capacity` counts.
     """
     spark = docs.sparkSession
-    end = np.array([end_id], "<u4").tobytes()
-
     def pieces(batches):
         from pyspark import TaskContext
 
         task, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for batch in text_slices(batches):
-            rows = []
-            for key, blob in zip(batch.column("id").to_pylist(), encode_column(batch.column("text"), tokenizer_path, end), strict=True):
-                for k, at in enumerate(range(0, len(blob), 4 * capacity)):
-                    part = blob[at : at + 4 * capacity]
-                    n = len(part) // 4
-                    rows.append((key, k, at // 4, n, part, zlib.crc32(part), task, int(seen[n])))
+            flat, offsets = encode_column(batch.column("text"), tokenizer_path, end_id)
+            raw, rows = flat.astype("<u4").tobytes(), []
+            for key, begin, end in zip(batch.column("id").to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+                for k, at in enumerate(range(begin, end, capacity)):
+                    n = min(capacity, end - at)
+                    part = raw[4 * at : 4 * (at + n)]
+                    rows.append((key, k, at - begin, n, part, zlib.crc32(part), task, int(seen[n])))
                     seen[n] += 1
             types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], [x.split()[0] for x in PIECES.split(", ")])

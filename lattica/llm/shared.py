@@ -54,15 +54,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def text_slices(batches: Iterable[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES, rows: int = 4096) -> Iterator[pa.RecordBatch]:
     """The batches in slices of about `most` bytes of text and at most `rows` rows; null text becomes empty."""
-    for batch in batches:
+    for batch in slices_as_they_are(batches, column, most, rows):
         at = batch.schema.get_field_index(column)
         texts = batch.column(at)
-        if not batch.num_rows:
-            continue
         if texts.null_count:
             texts = pc.fill_null(texts, "")
             batch = batch.set_column(at, pa.field(column, texts.type), texts)
-        ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+        yield batch
+
+
+def slices_as_they_are(batches: Iterable[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES, rows: int = 4096) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about `most` bytes of text and at most `rows` rows."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0)
+        ends = np.cumsum(sizes.to_numpy(zero_copy_only=False).astype(np.int64))
         begin = 0
         while begin < len(ends):
             before = ends[begin - 1] if begin else 0

@@ -9,11 +9,13 @@ from __future__ import annotations
 
 import hashlib
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import new_path, text_slices
+from .shared import new_path, stage, text_slices
 from .tokens import tokenizer
 
 CACHE_SCHEMA = "content_digest binary, version_digest string, n_bytes long, n_tokens long"
@@ -56,16 +58,17 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     def encode(batches):
         encoder = tokenizer(path)
         for batch in text_slices(batches):
-            counts = [len(encoder.ids_bytes(t)) // 4 for t in batch.column("text").to_pylist()]
-            sizes = [len(t) for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            counts = np.diff(encoder.encode(batch.column("text"))[1])
+            sizes = pc.binary_length(batch.column("text"))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("content_digest").cast(pa.binary()), pa.array([version] * len(counts), pa.string()), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64())],
+                [batch.column("content_digest").cast(pa.binary()), pa.array([version] * len(counts), pa.string()), sizes.cast(pa.int64()), pa.array(counts, pa.int64())],
                 ["content_digest", "version_digest", "n_bytes", "n_tokens"],
             )
 
     misses.mapInArrow(encode, CACHE_SCHEMA).write.mode("append").parquet(cache_path)
-    # runs that appended the same miss at the same time leave equal rows
+    # runs that appended the same miss at the same time leave equal rows; staged, so that the join may split a digest of many rows
     counts = _cache(spark, cache_path).filter(F.col("version_digest") == version).groupBy("content_digest").agg(F.max("n_tokens").alias("n_tokens"))
+    counts = stage(counts, "token-counts")
     joined = keyed.join(counts, "content_digest")
     return joined.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 

@@ -1,26 +1,24 @@
-"""Exact token ids by a public tokenizer, with each distinct whitespace-led piece encoded once per worker.
+"""Exact token ids by a public tokenizer, with each distinct piece of text encoded once per worker.
 
-A byte-pair model never merges across pre-tokens, and a pre-token of the byte-level pattern holds a space
-or line end only in front of, or as part of, a run of white space. So a text may be cut before a white-space
-character that follows a non-space one, and its ids are those of the pieces, in order. The library encodes
-the pieces; the memo only saves encoding the same piece again.
+A byte-pair model never merges across pre-tokens, and a pre-token of the byte-level pattern holds white space only
+in front of, or as part of, a run of it. So a text may be cut before a white-space character that follows a
+non-space one, and its ids are those of the pieces, in order. Where all white space is single blanks and line
+ends, a piece is a word with the sign before it; its ids come from the library once and then from a table, which is looked up
+for all words of a slice at once. Any other text goes to the library as a whole.
 """
 
 from __future__ import annotations
 
 import json
 import re
-from array import array
 
 import numpy as np
 import pyarrow as pa
 
-_CUT = re.compile(r"(?<=\S)(?=\s)")
-#: White space other than a blank and a line end, in Python's wider sense.
-_RARE_SPACES = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u180e\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
-#: Pieces that a memo holds before it starts anew; about 200 bytes each.
-MEMO_PIECES = 1_000_000
+from .words import UNSPACED, Words, mix, words
 
+#: Entries of a worker's table, which starts anew when it is full (about 50 bytes each), and its slots.
+TABLE_ENTRIES, TABLE_SLOTS = 2_000_000, 1 << 22
 
 _LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
 _WORD = re.compile(f"[{_LATIN}]+")
@@ -38,50 +36,8 @@ def _byte_marks() -> dict[int, str]:
 _MARKS = _byte_marks()
 
 
-class _Memo(dict):
-    """piece -> its ids, little-endian unsigned 32-bit; `lead` stands in front of a piece without a line end.
-
-    A word of Latin letters is one pre-token, which the library's model takes without its text stages where
-    `direct` says so; `fold` tells that the normalizer lower-cases. Signs behind a word are cut from it, as
-    letters and signs never share a pre-token.
-    """
-
-    def __init__(self, tokenizer, lead: str, direct: bool, fold: bool):
-        super().__init__()
-        self.tokenizer, self.model, self.lead, self.direct, self.fold, self.signs = tokenizer, tokenizer.model, lead, direct, fold, {}
-        self.bare = self if not lead else _Memo(tokenizer, "", direct, fold)
-
-    def encode(self, text: str) -> bytes:
-        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-
-    def __missing__(self, piece: str) -> bytes:
-        if self.direct:
-            if _WORD.fullmatch(piece):
-                text = (self.lead + (piece.lower() if self.fold else piece)).encode().decode("latin-1").translate(_MARKS)
-                return self.keep(piece, array("I", [t.id for t in self.model.tokenize(text)]).tobytes())
-            if piece[:1] == "\n" and piece[1:2].isalpha():
-                return self.sign("\n") + self.bare[piece[1:]]
-            if m := _WORD_SIGNS.fullmatch(piece):
-                return self.keep(piece, self[m[1]] + self.sign(m[2]))
-        return self.keep(piece, self.encode(("" if piece[:1] == "\n" else self.lead) + piece))
-
-    def sign(self, text: str) -> bytes:
-        if text not in self.signs:
-            if len(self.signs) >= 10_000:
-                self.signs.clear()
-            self.signs[text] = self.encode(text)
-        return self.signs[text]
-
-    def keep(self, piece: str, ids: bytes) -> bytes:
-        if len(piece) < 100:
-            if len(self) >= MEMO_PIECES:
-                self.clear()
-            self[piece] = ids
-        return ids
-
-
 class PieceTokenizer:
-    """ids_bytes(text) equals tokenizer.encode(text, add_special_tokens=False).ids as little-endian u32 bytes."""
+    """encode(texts) gives what tokenizer.encode(text, add_special_tokens=False).ids gives for each."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -89,22 +45,135 @@ class PieceTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
+        self.model = self.tokenizer.model
         spec = json.loads(self.tokenizer.to_str())
         self.drops_space = _drops_space(spec)
         self.byte_level = _byte_level(spec)
-        direct = not any(re.fullmatch(rf"[\n{_LATIN}]+|[!-/:-@\[-`{{-~]+", t["content"]) for t in spec.get("added_tokens", []))
-        self.first, self.led = _Memo(self.tokenizer, "", False, False), _Memo(self.tokenizer, "", False, False)
-        self.rest = _Memo(self.tokenizer, "" if self.drops_space else " ", direct, self.drops_space)
-
-    def ids_bytes(self, text: str) -> bytes:
+        # whether the model may take a word of Latin letters without the text stages, and signs behind it be cut off
+        self.direct = not any(re.fullmatch(rf"[\n{_LATIN}]+|[!-/:-@\[-`{{-~]+", t["content"]) for t in spec.get("added_tokens", []))
+        self.signs: dict[str, list[int]] = {}
+        self._clear()
+
+    def _clear(self) -> None:
+        self.keys, self.entry = np.zeros(TABLE_SLOTS, np.uint64), np.zeros(TABLE_SLOTS, np.int32)
+        self.n, self.n_ids = 0, 0
+        self.head, self.size = np.zeros(1024, np.uint64), np.zeros(1024, np.int32)
+        self.at, self.length = np.zeros(1024, np.int32), np.zeros(1024, np.int32)  # length -1: a piece that can't be cut here
+        self.ids = np.zeros(4096, np.uint32)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in a row, and the n + 1 offsets of the texts' ids; null is empty."""
+        w = words(texts, UNSPACED, False)
+        n = len(texts)
+        if not (self.drops_space or self.byte_level):
+            return self._joined([self._whole(t.as_py()) for t in texts])
+        blank = ~UNSPACED[w.data]
         if self.drops_space:
-            return b"".join(map(self.rest.__getitem__, text.replace("\n", " ").split(" ")))
-        if not self.byte_level:
-            return self.first.encode(text)
-        if "  " in text or "\n\n" in text or "\n " in text or " \n" in text or any(c in text for c in _RARE_SPACES):
-            return b"".join(map(self.led.__getitem__, _CUT.split(text)))
-        first, *rest = text.replace("\n", " \n").split(" ")
-        return self.first[first] + b"".join(map(self.rest.__getitem__, rest))
+            lead = np.zeros(len(w.hashes), np.uint8)
+            odd = np.zeros(n, bool)
+        else:
+            before = np.append(w.data, np.uint8(0))[w.begins - 1]
+            before[w.offsets[:-1][(w.counts > 0) & (w.bounds[:-1] == w.begins[np.minimum(w.offsets[:-1], max(0, len(w.begins) - 1))] if len(w.begins) else False)]] = 0
+            lead = before
+            # runs of white space, white space of other kinds, and white space at a text's end
+            strange = blank & (w.data != 0x20) & (w.data != 0x0A)
+            strange[1:] |= blank[1:] & blank[:-1]
+            total = np.concatenate([[0], np.cumsum(strange)])
+            odd = total[w.bounds[1:]] > total[w.bounds[:-1]]
+            filled = np.flatnonzero(np.diff(w.bounds))
+            odd[filled] |= blank[w.bounds[1:][filled] - 1]
+        keys = mix(w.hashes + lead.astype(np.uint64)) | np.uint64(1)
+        sizes = (w.ends - w.begins).astype(np.int32)
+        eight = np.ndarray(len(w.data) + 1, "<u8", np.append(w.data, np.zeros(8, np.uint8)).tobytes(), strides=(1,))
+        heads = eight[w.begins] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - np.minimum(sizes, 8).astype(np.uint64) * np.uint64(8)))
+        found = self._find(keys)
+        missing = np.flatnonzero(found < 0)
+        if len(missing):
+            _, firsts = np.unique(keys[missing], return_index=True)
+            new = missing[firsts]
+            if self.n + len(new) > TABLE_ENTRIES:
+                self._clear()
+                missing = np.arange(len(keys))
+                _, new = np.unique(keys, return_index=True)
+            self._add(w, new, keys[new], heads[new], sizes[new], lead[new])
+            found[missing] = self._find(keys[missing])
+        # the hash has met another word, or the piece can't be cut: the text goes to the library
+        bad = (self.head[found] != heads) | (self.size[found] != sizes) | (self.length[found] < 0)
+        if bad.any():
+            odd[np.searchsorted(w.offsets, np.flatnonzero(bad), side="right") - 1] = True
+        lengths = np.maximum(self.length[found], 0)
+        ends = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+        ids = self.ids[np.repeat(self.at[found] - ends[:-1], lengths) + np.arange(ends[-1])]
+        offsets = ends[w.offsets]
+        if odd.any():
+            parts = [self._whole(texts[k].as_py()) if odd[k] else ids[offsets[k] : offsets[k + 1]] for k in range(n)]
+            return self._joined(parts)
+        return ids, offsets
+
+    def _joined(self, parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        return (np.concatenate(parts) if parts else np.zeros(0, np.uint32)), np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
+
+    def _whole(self, text: str | None) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text or "", add_special_tokens=False).ids, np.uint32)
+
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        """The entries of keys, -1 where there is none."""
+        out = np.full(len(keys), -1, np.int32)
+        slot = (keys >> np.uint64(42)).astype(np.int64)
+        todo = np.arange(len(keys))
+        while len(todo):
+            held = self.keys[slot]
+            same = held == keys[todo]
+            out[todo[same]] = self.entry[slot[same]]
+            further = ~same & (held != 0)
+            todo, slot = todo[further], (slot[further] + 1) & (TABLE_SLOTS - 1)
+        return out
+
+    def _add(self, w: Words, places: np.ndarray, keys: np.ndarray, heads: np.ndarray, sizes: np.ndarray, leads: np.ndarray) -> None:
+        raw = w.data.tobytes()
+        lists = []
+        for a, b, lead in zip(w.begins[places].tolist(), w.ends[places].tolist(), leads.tolist(), strict=True):
+            lists.append(self._piece(raw[a:b].decode(), chr(lead) if lead else ""))
+        flat = np.array([i for x in lists if x is not None for i in x], np.uint32)
+        lengths = np.array([-1 if x is None else len(x) for x in lists], np.int32)
+        n, m = self.n + len(lists), self.n_ids + len(flat)
+        for name, least in (("head", n), ("size", n), ("at", n), ("length", n), ("ids", m)):
+            if len(old := getattr(self, name)) < least:
+                setattr(self, name, np.concatenate([old, np.zeros(max(least, len(old) * 3 // 2) - len(old), old.dtype)]))
+        new = slice(self.n, n)
+        self.head[new], self.size[new], self.length[new] = heads, sizes, lengths
+        self.at[new] = self.n_ids + np.cumsum(np.maximum(lengths, 0)) - np.maximum(lengths, 0)
+        self.ids[self.n_ids : m] = flat
+        entries, slot = np.arange(self.n, n, dtype=np.int32), (keys >> np.uint64(42)).astype(np.int64)
+        self.n, self.n_ids = n, m
+        while len(entries):
+            free = self.keys[slot] == 0
+            tried = np.flatnonzero(free)
+            self.keys[slot[tried]], self.entry[slot[tried]] = keys[tried], entries[tried]  # of those that want a slot the last has it
+            left = self.keys[slot] != keys
+            entries, keys, slot = entries[left], keys[left], (slot[left] + 1) & (TABLE_SLOTS - 1)
+
+    def _piece(self, word: str, lead: str) -> list[int] | None:
+        """The ids of a word with the sign before it; None if its end is white space, where it must not be cut."""
+        if self.drops_space:
+            lead = ""
+        elif word[-1].isspace() or word[-1] == "\u180e":
+            return None
+        if self.direct and lead != "\n":
+            if _WORD.fullmatch(word):
+                return self._word(word, lead)
+            if m := _WORD_SIGNS.fullmatch(word):
+                if m[2] not in self.signs:
+                    if len(self.signs) >= 10_000:
+                        self.signs.clear()
+                    self.signs[m[2]] = self.tokenizer.encode(m[2], add_special_tokens=False).ids
+                return self._word(m[1], lead) + self.signs[m[2]]
+        return self.tokenizer.encode(lead + word, add_special_tokens=False).ids
+
+    def _word(self, word: str, lead: str) -> list[int]:
+        """A word of Latin letters is one pre-token: what the text stages make of it goes straight to the model."""
+        text = (lead + (word.lower() if self.drops_space else word)).encode().decode("latin-1").translate(_MARKS)
+        return [t.id for t in self.model.tokenize(text)]
 
 
 def _byte_level(spec: dict) -> bool:
@@ -135,7 +204,12 @@ def tokenizer(path: str) -> PieceTokenizer:
     return _HELD[path]
 
 
-def encode_column(texts: pa.Array, path: str, end: bytes = b"") -> list[bytes]:
-    """The ids of each text as bytes, with `end` appended; null is empty."""
-    encode = tokenizer(path).ids_bytes
-    return [encode(t or "") + end for t in texts.to_pylist()]
+def vocabulary_size(path: str) -> int:
+    """Ids lie below this."""
+    return max(tokenizer(path).tokenizer.get_vocab(with_added_tokens=True).values(), default=0) + 1
+
+
+def encode_column(texts: pa.Array, path: str, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """All ids (unsigned 32-bit) in a row with end_id after each text's, and the n + 1 offsets; null is empty."""
+    ids, offsets = tokenizer(path).encode(texts)
+    return np.insert(ids, offsets[1:], np.uint32(end_id)), offsets + np.arange(len(offsets))
