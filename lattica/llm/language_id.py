@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import text_slices
+from .shared import slices_as_they_are, text_slices
 from .words import mix
 
 UNKNOWN = "und"
@@ -142,13 +142,14 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: list[s
     keep = keep or []
     held = docs.sparkSession.sparkContext.broadcast(model)  # centroids * dimensions numbers
     dimensions = model.centroids.shape[1]
-    source = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(text_col).alias("text"), F.col(text_col).isNull().alias("no_text"))
+    at = keep.index(text_col) if text_col in keep else len(keep)
+    source = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], *[F.col(text_col).alias(f"k{at}")] * (at == len(keep)))
 
     def judge(batches):
         m = held.value
         names = [f"k{i}" for i in range(len(keep))]
-        for batch in text_slices(batches, rows=256):
-            counts = np.stack([ngram_counts(t, dimensions) for t in batch.column("text").to_pylist()])
+        for batch in slices_as_they_are(batches, f"k{at}", rows=256):
+            counts = np.stack([ngram_counts(t or "", dimensions) for t in batch.column(f"k{at}").to_pylist()])
             cosines = weights(counts, m.idf) @ m.centroids.T
             if not len(m.languages):
                 cosines = np.zeros((len(counts), 1), np.float32)
@@ -156,7 +157,6 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: list[s
             score = np.clip(cosines.max(1), 0, 1).astype(np.float64)
             known = counts.any(1) & (score > 0) & (score >= m.reject) & bool(len(m.languages))
             langs = [m.languages[b] if k else UNKNOWN for b, k in zip(best.tolist(), known.tolist(), strict=True)]
-            # the columns to keep go through untouched: a kept text column must keep its nulls
             columns = [batch.column(c) for c in names]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(langs, pa.string()), pa.array(np.where(counts.any(1), score, 0.0))], [*names, "lang_pred", "score"])
 

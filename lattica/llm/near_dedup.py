@@ -89,15 +89,15 @@ class MinHash:
 
 
 def near_duplicates(docs: DataFrame, similarity: float = 0.85, shingle: int = 5, bands: int = 36, rows: int = 6, b: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, component_id, kept, row_id (a number of the row).
+    """One row per row of docs: doc_id, n_shingles, component_id, kept; text_digest (MD5) and keeper.
 
     Two documents are linked when the Jaccard similarity of their sets is `similarity` or more, compared in whole
     hundredths. With 36 bands of 6 a pair at 0.85 meets in no band with a chance of 4e-8, and less above. The estimate
     refuses pairs more than six of its deviations below the threshold. A text with fewer words than a
     shingle has its whole sequence as the only one; null, empty and blank texts have none and link with nothing.
     component_id is the smallest doc_id reachable; a null doc_id is never the smallest while another is there. kept
-    means doc_id = component_id, so rows that repeat that doc_id are all kept; row_id tells them apart. An empty
-    table gives no rows; other columns are not read.
+    means doc_id = component_id, so rows that repeat that doc_id are all kept; keeper holds for exactly one row of each
+    component, and for every row without shingles. An empty table gives no rows; other columns are not read.
     """
     spark = docs.sparkSession
     hundredths = round(100 * similarity)
@@ -130,7 +130,7 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.85, shingle: int = 5,
     signed = texts.withColumn("text_digest", text_digest(F.col("text"))).mapInArrow(sign, SIGNATURE)
     signed = stage(signed.withColumn("row_id", F.monotonically_increasing_id()), "signatures")
     full = signed.filter("n_shingles > 0")
-    classes = stage(full.groupBy("set_digest").agg(F.min("row_id").alias("v"), F.min("doc_id").alias("first_id")), "set-classes")
+    classes = stage(full.groupBy("set_digest").agg(F.min("row_id").alias("v"), F.min("doc_id").alias("first_id"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_id")).alias("best")), "set-classes")
     chosen = full.join(classes.select("v"), F.col("row_id") == F.col("v"), "left_semi")
 
     banded = chosen.select(F.col("row_id").alias("v"), F.explode("bands").alias("bucket"))
@@ -195,8 +195,26 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.85, shingle: int = 5,
         pivots *= 8
 
     labelled = classes.join(labels.toDF("v", "label"), "v", "left").withColumn("label", F.coalesce("label", "v"))
-    smallest = labelled.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    named = labelled.join(smallest, "label").select("set_digest", "component_id")
-    rows_ = signed.select("doc_id", "n_shingles", "set_digest", "row_id").join(named, "set_digest", "left")
-    rows_ = rows_.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "row_id")
-    return rows_.withColumn("kept", F.col("component_id").eqNullSafe(F.col("doc_id")))
+    smallest = labelled.groupBy("label").agg(F.min("first_id").alias("component_id"), F.min("best").alias("best"))
+    named = labelled.select("set_digest", "label").join(smallest, "label").select("set_digest", "component_id", F.col("best")["row_id"].alias("best_row"))
+    named = stage(named, "components-of-sets")  # so that the join may split a set of many rows
+    rows_ = signed.select("doc_id", "n_shingles", "set_digest", "text_digest", "row_id").join(named, "set_digest", "left")
+    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    rows_ = rows_.withColumn("component_id", component).withColumn("keeper", (F.col("n_shingles") == 0) | (F.col("row_id") == F.col("best_row")))
+    return rows_.select("doc_id", "n_shingles", "component_id", F.col("component_id").eqNullSafe(F.col("doc_id")).alias("kept"), "text_digest", "keeper")
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of docs, with all their columns, that near_duplicates makes keepers: one of each component.
+
+    Rows without shingles all stay. Where rows repeat both id and text, one of them stays.
+    """
+    marked = stage(near_duplicates(docs, id_col=id_col, text_col=text_col, **options), "marked-documents")
+    keepers = marked.filter("keeper").select(F.col("doc_id").alias("keeper_id"), F.col("text_digest").alias("keeper_digest"), (F.col("n_shingles") == 0).alias("blank")).distinct()
+    repeated = not marked.filter("n_shingles > 0").groupBy("doc_id", "text_digest").count().filter("count > 1").isEmpty()
+    digested = docs.withColumn("keeper_text", F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))))
+    on = F.col(id_col).cast("long").eqNullSafe(F.col("keeper_id")) & (F.col("keeper_text") == F.col("keeper_digest"))
+    out = digested.join(keepers.hint("shuffle_hash"), on)
+    if repeated:
+        out = out.filter("not blank").dropDuplicates([id_col, "keeper_text"]).unionByName(out.filter("blank"))
+    return out.select(*docs.columns)

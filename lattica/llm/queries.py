@@ -98,7 +98,7 @@ def op9_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_dedup import near_duplicates
 
-    return near_duplicates(table(spark, sf_dir, "documents"), similarity=0.85, shingle=5).drop("row_id")
+    return near_duplicates(table(spark, sf_dir, "documents"), similarity=0.85, shingle=5).drop("text_digest", "keeper")
 
 
 QUERIES: dict[str, Query] = {
