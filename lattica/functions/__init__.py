@@ -1,0 +1 @@
+"""Scalar and vector expressions that the operators share."""

@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..graph import Graph
+from ..work import stage as staged
+
 
 def component_labels(edges: DataFrame, stage: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
     """(v, label) for every vertex of edges (a, b); equal labels mean one component, and a label is a vertex of it.
@@ -39,3 +42,38 @@ def component_labels(edges: DataFrame, stage: Callable[[DataFrame, str], DataFra
         later = labels.toDF("label", "final")
         labels = taken.join(later, "label", "left").select("v", F.coalesce("final", "label").alias("label"))
     return stage(labels, "labels") if len(rounds) > 1 else labels
+
+
+def connected_components(g: Graph) -> DataFrame:
+    """(id, component) of every vertex; component is the smallest vertex of it."""
+    labels = component_labels(g.edges.select("i", "j"), staged).toDF("id", "label")
+    own = g.vertices.join(labels, "id", "left").select("id", F.coalesce("label", "id").alias("label"))
+    least = own.groupBy("label").agg(F.min("id").alias("component"))
+    return own.join(least, "label").select("id", "component")
+
+
+def component_lists(g: Graph) -> DataFrame:
+    """(component, members): a row for each component, with its vertices in order. For components that fit a row."""
+    return connected_components(g).groupBy("component").agg(F.array_sort(F.collect_list("id")).alias("members")).orderBy("component")
+
+
+def connected_component(g, v: int) -> DataFrame:
+    """Vertices (id) that v reaches, by rounds of a frontier: its neighbours that weren't reached before are the next one.
+
+    Works on whatever has neighbors_of(frontier): work grows with the component, rounds with its depth.
+    """
+    if not g.vertex_exists(v):
+        raise ValueError(f"{v} is no vertex")
+    spark = g.spark
+    reached = spark.createDataFrame([(v,)], "id long")
+    frontier = reached
+    while True:
+        near = g.neighbors_of(frontier).select(F.col("j").alias("id")).distinct()
+        frontier = staged(near.join(reached, "id", "left_anti"), "frontier")
+        if frontier.isEmpty():
+            return reached
+        reached = staged(reached.unionByName(frontier), "reached")
+
+
+def is_connected(g: Graph) -> bool:
+    return g.n > 0 and connected_component(g, 0).count() == g.n

@@ -1,0 +1 @@
+"""Text formats of graphs and matrices, and lossless Parquet."""
