@@ -6,10 +6,11 @@ unlike minima agree in b bits with chance 2^-b, so similarity = (agreeing share
 whose estimate lies far under the threshold go; the rest are confirmed on full sets.
 
 Equal sets are one class from the start, so exact copies meet in no band. Only components are asked for, so pairs
-inside one component need no look: in each round every bucket's next pivots (one, then eight times as many
-each round) meet those members of the bucket that are not yet in their component, and the links found merge components. A
-bucket is done when its members are one component or all of them were pivots, so every candidate pair
-is either confirmed, refused, or inside a component. Buckets are never gathered: pivots come from partial minima.
+inside one component need no look. First every bucket's smallest member meets the others, which links most groups.
+Buckets whose members are one component then are done. Of the others, small ones give their pairs across components.
+Of larger ones (loose groups of many near copies) the middlemost members meet all others; what is still apart goes to an exact join by rare shingles: in the order of how few members
+have a shingle, two sets at the threshold share one among their first few, at places that leave room for the overlap they need.
+So no bucket gives all its pairs, and no pair of a bucket that might be a link is passed over.
 """
 
 from __future__ import annotations
@@ -26,6 +27,11 @@ from lattica.operators.traversal import component_labels
 from .shared import stage, text_slices
 from .words import UNSPACED, Words, inside_texts, mix, windows, words
 
+#: Members of a crowded bucket that meet all others first.
+MIDDLES = 2
+#: Members of a bucket whose pairs are made; those of larger ones meet by rare shingles.
+SMALL_BUCKET = 32
+
 SIGNATURE = "doc_id long, n_shingles long, set_digest binary, text_digest binary, bits binary, bands array<long>"
 
 
@@ -175,24 +181,29 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.85, shingle: int = 5,
         return near.join(one, "a").join(two, "b").mapInArrow(confirmed, "a long, b long")
 
     links = stage(confirm(members.filter("v > pivot").select(F.col("pivot").alias("a"), F.col("v").alias("b"))), "links")
-    labels, pivots = component_labels(links.toDF("a", "b"), stage), 8
-    rest = members.withColumnRenamed("pivot", "done")
-    while True:
-        rest = rest.join(labels.toDF("v", "label"), "v", "left").select("bucket", "v", "done", F.coalesce("label", "v").alias("label"))
-        open_ = rest.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.max("v").alias("last")).filter("least < most").select("bucket", "last")
-        rest = stage(rest.join(open_, "bucket").filter("done < last").drop("last"), "open-buckets")
-        if rest.isEmpty():
-            break
-        order = Window.partitionBy("bucket").orderBy("v")
-        chosen_now = rest.filter("v > done").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= pivots)
-        chosen_now = stage(chosen_now.select("bucket", F.col("v").alias("a"), F.col("label").alias("label_a")), "pivots")
-        pairs = rest.join(chosen_now, "bucket").filter("v > a and label <> label_a").select("a", F.col("v").alias("b"))
-        links = links.unionByName(confirm(pairs))
-        links = stage(links, "links")
-        labels = component_labels(links, stage)
-        newest = chosen_now.groupBy("bucket").agg(F.max("a").alias("newest"))
-        rest = rest.join(newest, "bucket", "left").select("bucket", "v", F.coalesce("newest", "done").alias("done"))
-        pivots *= 8
+    labels = component_labels(links.toDF("a", "b"), stage)
+
+    rest = stage(members.join(labels.toDF("v", "label"), "v", "left").select("bucket", "v", "pivot", F.coalesce("label", "v").alias("label")), "bucket-labels")
+    open_ = rest.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("size")).filter("least < most and size > 2")
+    rest = stage(rest.join(open_.select("bucket", "size"), "bucket"), "open-buckets")
+    one = rest.filter(f"size <= {SMALL_BUCKET} and v > pivot")
+    two = one.select("bucket", F.col("v").alias("b"), F.col("label").alias("label_b"))
+    more = one.select("bucket", F.col("v").alias("a"), "label").join(two, "bucket").filter("a < b and label <> label_b").select("a", "b")
+    crowded = rest.filter(f"size > {SMALL_BUCKET}")
+    if not crowded.isEmpty():
+        each, often = _crowd_shingles(crowded.select("v").distinct(), full_sets)
+        # members with the commonest shingles are near the middle of their group and link much of it
+        middle = stage(each.join(often, "shingle").groupBy("v").agg(F.avg("often").alias("score")), "crowd-middles")
+        order = Window.partitionBy("bucket").orderBy(F.desc("score"), "v")
+        middles = crowded.join(middle, "v").withColumn("rank", F.row_number().over(order)).filter(f"rank <= {MIDDLES}")
+        middles = stage(middles.select("bucket", F.col("v").alias("a"), F.col("label").alias("label_a")), "middles")
+        around = crowded.join(middles, "bucket").filter("label <> label_a").select(F.least("a", "v").alias("a"), F.greatest("a", "v").alias("b"))
+        links = stage(links.unionByName(confirm(around)), "links")
+        labels = component_labels(links.toDF("a", "b"), stage)
+        crowd = crowded.select("v").distinct().join(labels.toDF("v", "label"), "v", "left").select("v", F.coalesce("label", "v").alias("label"))
+        more = more.unionByName(_by_rare_shingles(stage(crowd, "crowd"), each, often, hundredths))
+    links = stage(links.unionByName(confirm(more)), "links")
+    labels = component_labels(links.toDF("a", "b"), stage)
 
     labelled = classes.join(labels.toDF("v", "label"), "v", "left").withColumn("label", F.coalesce("label", "v"))
     smallest = labelled.groupBy("label").agg(F.min("first_id").alias("component_id"), F.min("best").alias("best"))
@@ -204,6 +215,46 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.85, shingle: int = 5,
     return rows_.select("doc_id", "n_shingles", "component_id", F.col("component_id").eqNullSafe(F.col("doc_id")).alias("kept"), "text_digest", "keeper")
 
 
+def _crowd_shingles(crowd: DataFrame, full_sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(v, n, shingle) of all members (v), and (shingle, often): how many of them have it."""
+
+    def shingles(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                hashes = np.frombuffer(batch.column("hashes")[k].as_py(), np.int64)
+                own = pa.array(np.full(len(hashes), batch.column("v")[k].as_py()), pa.int64())
+                yield pa.RecordBatch.from_arrays([own, pa.array(np.full(len(hashes), len(hashes), np.int64)), pa.array(hashes)], ["v", "n", "shingle"])
+
+    # a repeated row may have left its set twice
+    each = crowd.join(full_sets, "v").dropDuplicates(["v"]).select("v", "hashes").mapInArrow(shingles, "v long, n long, shingle long")
+    each = stage(each, "crowd-shingles")
+    return each, stage(each.groupBy("shingle").agg(F.count("*").alias("often")), "shingle-counts")  # staged, so that a join may split a common one
+
+
+def _by_rare_shingles(crowd: DataFrame, each: DataFrame, often: DataFrame, hundredths: int) -> DataFrame:
+    """(a, b) of all pairs of crowd (v, label) that may reach the similarity and differ in label.
+
+    In an order that all sets share, sets of sizes m and n with the similarity have an overlap of at least
+    need = ceil(s * (m + n) / (1 + s)), so the first shingle they share lies where at least need - 1 follow on either side.
+    Rare shingles come first, so what a copy has changed stands in front and common shingles seldom count.
+    """
+    order = Window.partitionBy("v").orderBy("often", "shingle")
+    placed = each.join(often, "shingle").withColumn("place", F.row_number().over(order))
+    first = placed.filter(f"often > 1 and place <= n - ceil({hundredths} * n / 100) + 1").select("shingle", "v", "n", "place").join(crowd, "v")
+    sizes = crowd.groupBy("label").agg(F.count("*").alias("of_label"))
+    first = stage(first.join(sizes, "label"), "rare-shingles")
+    fits = f"""label <> label2 and 100 * least(n, n2) >= {hundredths} * greatest(n, n2)
+        and least(n - place, n2 - place2) + 1 >= ceil({hundredths} * (n + n2) / {100 + hundredths})"""
+    other = first.toDF("label2", "shingle", "v2", "n2", "place2", "of_label2")
+    # members of large components needn't meet each other unless there are several
+    small = first.filter(f"of_label <= {SMALL_BUCKET}")
+    pairs = small.join(other, "shingle").filter(fits)
+    large = sizes.filter(f"of_label > {SMALL_BUCKET}").limit(2).count()
+    if large > 1:
+        pairs = pairs.unionByName(first.filter(f"of_label > {SMALL_BUCKET}").join(other.filter(f"of_label2 > {SMALL_BUCKET}"), "shingle").filter(fits))
+    return pairs.select(F.least("v", "v2").alias("a"), F.greatest("v", "v2").alias("b")).distinct()
+
+
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of docs, with all their columns, that near_duplicates makes keepers: one of each component.
 
