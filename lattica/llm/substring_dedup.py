@@ -8,6 +8,9 @@ document of each class of suffixes that agree in `window` words. Streamed back t
 segment keeps its longest match, at most `window` words; where that is full, the class tells the smallest document
 in which these words start. A smaller one than the segment's own marks the window.
 
+An anchor that occurs more than HOT_SEGMENTS times is no task's work: its windows are dealt out by two hashes of all their words,
+and the smallest document of each comes from partial minima.
+
 Exact copies take no part: of equal word sequences only the smallest document is searched, and the
 others are covered whole if they have a window at all.
 """
@@ -22,10 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import stage, text_slices
-from .words import UNSPACED, windows, words
+from .words import UNSPACED, mix, windows, words
 
 #: Words of segments in one index; an anchor is never split.
 INDEX_WORDS = 400_000
+#: Occurrences of an anchor beyond which its windows are dealt out one by one.
+HOT_SEGMENTS = 20_000
 
 
 class WaveletMatrix:
@@ -163,13 +168,11 @@ def covered_spans(docs: DataFrame, window: int = 50, gram: int = 10, id_col: str
             places, hashes = anchors(w.hashes, w.offsets, window, gram)
             owner = np.searchsorted(w.offsets, places, side="right") - 1
             bounds = np.searchsorted(owner, np.arange(batch.num_rows + 1))
-            raw, signed = w.data, hashes.astype(np.int64)
-            digests, wholes = [], []
+            signed = hashes.astype(np.int64)
+            digests = []
             for k in range(batch.num_rows):
-                a, b = w.offsets[k], w.offsets[k + 1]
-                whole = b" ".join([raw[x:y].tobytes() for x, y in zip(w.begins[a:b].tolist(), w.ends[a:b].tolist(), strict=True)])
-                wholes.append(hashlib.sha256(whole).digest())
-            digests = wholes
+                whole = b" ".join(w.data[w.bounds[k] : w.bounds[k + 1]].tobytes().split())  # bytes.split() knows the same white space
+                digests.append(hashlib.sha256(whole).digest())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(w.counts, pa.int64()), pa.array(digests, pa.binary()), pa.array([signed[x:y] for x, y in zip(bounds[:-1], bounds[1:], strict=True)], pa.list_(pa.int64()))],
                 ["doc_id", "n_words", "words_digest", "anchors"],
@@ -180,9 +183,9 @@ def covered_spans(docs: DataFrame, window: int = 50, gram: int = 10, id_col: str
     classes = scanned.filter(F.col("doc_id").isNotNull() & (F.col("n_words") >= window)).groupBy("words_digest").agg(F.min("doc_id").alias("first_id"))
     classes = stage(classes, "word-classes")
     first = scanned.join(classes, (scanned.words_digest == classes.words_digest) & (F.col("doc_id") == F.col("first_id")), "left_semi")
-    occurring = first.select("doc_id", F.explode(F.array_distinct("anchors")).alias("anchor"))
+    occurring = first.select("doc_id", "words_digest", F.explode(F.array_distinct("anchors")).alias("anchor"))
     shared = occurring.groupBy("anchor").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("anchor")
-    wanted = stage(occurring.join(shared, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("wanted")), "shared-anchors")  # a row has its own document's anchors
+    wanted = stage(occurring.join(shared, "anchor").groupBy("doc_id", "words_digest").agg(F.collect_set("anchor").alias("wanted")), "shared-anchors")  # a row has its own document's anchors
 
     def cut(batches):
         for batch in text_slices(batches, most=1 << 19):
@@ -191,22 +194,26 @@ def covered_spans(docs: DataFrame, window: int = 50, gram: int = 10, id_col: str
             owner = np.searchsorted(w.offsets, places, side="right") - 1
             bounds = np.searchsorted(owner, np.arange(batch.num_rows + 1))
             rows = []
-            for k, (key, wanted_) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("wanted"), strict=True)):
+            for k, (key, digest, wanted_) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("words_digest").to_pylist(), batch.column("wanted"), strict=True)):
+                if hashlib.sha256(b" ".join(w.data[w.bounds[k] : w.bounds[k + 1]].tobytes().split())).digest() != digest:
+                    continue  # another text under the same id
                 of = slice(bounds[k], bounds[k + 1])
                 use = np.isin(hashes[of].astype(np.int64), wanted_.values.to_numpy())
                 begin, end = int(w.offsets[k]), int(w.offsets[k + 1])
                 for place, anchor in zip(places[of][use].tolist(), hashes[of][use].astype(np.int64).tolist(), strict=True):
                     a, b = max(begin, place - (window - gram)), min(end, place + window)
                     segment = w.hashes[a:b].tobytes()
-                    rows.append((anchor, hashlib.blake2b(segment, digest_size=16).digest(), key, a - begin, segment))
+                    rows.append((anchor, hashlib.blake2b(segment, digest_size=16).digest(), key, digest, a - begin, segment))
             if rows:
-                types = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["anchor", "segment_digest", "doc_id", "start", "segment"])
+                types = [pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["anchor", "segment_digest", "doc_id", "words_digest", "start", "segment"])
 
-    # a repeated id may bear several texts, of which those without the wanted anchors give nothing
     involved = stage(texts.join(wanted.hint("shuffle_hash"), "doc_id"), "involved-texts")
-    segments = stage(involved.mapInArrow(cut, "anchor long, segment_digest binary, doc_id long, start long, segment binary"), "segments")
-    distinct = segments.groupBy("anchor", "segment_digest").agg(F.min("doc_id").alias("doc_id"), F.first("segment").alias("segment"))
+    segments = stage(involved.mapInArrow(cut, "anchor long, segment_digest binary, doc_id long, words_digest binary, start long, segment binary"), "segments")
+    hot = stage(segments.groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > HOT_SEGMENTS).select("anchor"), "hot-anchors")
+    some_hot = not hot.isEmpty()
+    cold = segments.join(hot, "anchor", "left_anti") if some_hot else segments
+    distinct = cold.groupBy("anchor", "segment_digest").agg(F.min("doc_id").alias("doc_id"), F.first("segment").alias("segment"))
 
     def search(batches):
         held: list[tuple[int, bytes, int, np.ndarray]] = []
@@ -235,29 +242,32 @@ def covered_spans(docs: DataFrame, window: int = 50, gram: int = 10, id_col: str
 
     sharded = distinct.select("anchor", "segment_digest", "doc_id", "segment").repartition("anchor").sortWithinPartitions("anchor")
     least = sharded.mapInArrow(search, "anchor long, segment_digest binary, least array<long>")
+    if some_hot:
+        least = least.unionByName(_least_by_window(segments.join(hot, "anchor", "left_semi"), window))
     marked = segments.drop("segment").join(least, ["anchor", "segment_digest"]).withColumn("starts", F.expr(f"transform(filter(sequence(0, size(least) - 1), i -> size(least) > 0 and least[i] < doc_id), i -> start + i)"))
-    spans = marked.filter("size(starts) > 0").groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("starts")))).alias("starts"))  # of one document's own windows
+    spans = marked.filter("size(starts) > 0").groupBy("doc_id", "words_digest").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("starts")))).alias("starts"))  # of one document's own windows
 
     def keep(batches):
         for batch in text_slices(batches, most=1 << 22):
             rows = []
-            for key, text, starts in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), batch.column("starts").to_pylist(), strict=True):
-                w = words(pa.array([text]), UNSPACED, False)
-                marks = np.zeros(len(w.hashes) + 1, np.int64)
-                starts = np.array(starts, np.int64)
-                starts = starts[starts + window <= len(w.hashes)]
+            for key, digest, text, starts in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "words_digest", "text", "starts")), strict=True):
+                all_words = text.encode().split()
+                if hashlib.sha256(b" ".join(all_words)).digest() != digest:
+                    continue
+                marks, starts = np.zeros(len(all_words) + 1, np.int64), np.array(starts, np.int64)
                 np.add.at(marks, starts, 1)
                 np.add.at(marks, starts + window, -1)
                 gone = np.concatenate([[0], np.cumsum(marks[:-1]) > 0, [0]]).astype(np.int8)
                 stay = np.flatnonzero(gone[1:-1] == 0).tolist()
-                kept = b" ".join([w.data[w.begins[i] : w.ends[i]].tobytes() for i in stay])
+                kept = b" ".join([all_words[i] for i in stay])
                 edges = np.diff(gone)
-                whole = b" ".join([w.data[x:y].tobytes() for x, y in zip(w.begins.tolist(), w.ends.tolist(), strict=True)])
-                rows.append((key, hashlib.sha256(whole).digest(), [{"a": x, "b": y} for x, y in zip(np.flatnonzero(edges == 1).tolist(), np.flatnonzero(edges == -1).tolist(), strict=True)], hashlib.sha256(kept).hexdigest()))
+                rows.append((key, digest, [{"a": x, "b": y} for x, y in zip(np.flatnonzero(edges == 1).tolist(), np.flatnonzero(edges == -1).tolist(), strict=True)], hashlib.sha256(kept).hexdigest()))
+            if not rows:
+                continue
             types = [pa.int64(), pa.binary(), pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["doc_id", "words_digest", "spans", "kept"])
 
-    found = involved.select("doc_id", "text").join(spans.hint("shuffle_hash"), "doc_id").mapInArrow(keep, "doc_id long, words_digest binary, spans array<struct<a:bigint,b:bigint>>, kept string")
+    found = involved.select("doc_id", "words_digest", "text").join(spans.hint("shuffle_hash"), ["doc_id", "words_digest"]).mapInArrow(keep, "doc_id long, words_digest binary, spans array<struct<a:bigint,b:bigint>>, kept string")
     found = found.dropDuplicates(["doc_id", "words_digest"]).toDF("found_id", "found_digest", "spans", "kept")
     rows_ = scanned.select("doc_id", "n_words", "words_digest").join(classes, "words_digest", "left")
     rows_ = rows_.join(found, (F.col("doc_id") == F.col("found_id")) & (F.col("words_digest") == F.col("found_digest")), "left")
@@ -270,3 +280,24 @@ def covered_spans(docs: DataFrame, window: int = 50, gram: int = 10, id_col: str
         F.when(copy, whole).otherwise(F.coalesce("spans", none)).alias("spans"),
         F.when(copy, F.lit(empty)).otherwise(F.coalesce("kept", F.lower(F.hex("words_digest")))).alias("kept_sha256"),
     )
+
+
+def _least_by_window(segments: DataFrame, window: int) -> DataFrame:
+    """(anchor, segment_digest, least) of segments: for each of a segment's windows the smallest document with its words."""
+    distinct = segments.groupBy("anchor", "segment_digest").agg(F.min("doc_id").alias("doc_id"), F.first("segment").alias("segment"))
+
+    def each(batches):
+        for batch in batches:
+            for anchor, digest, doc, blob in zip(*(batch.column(c).to_pylist() for c in ("anchor", "segment_digest", "doc_id", "segment")), strict=True):
+                hashes = np.frombuffer(blob, np.uint64)
+                one, two = windows(hashes, window).astype(np.int64), windows(mix(hashes ^ np.uint64(0x5851F42D4C957F2D)), window).astype(np.int64)
+                n = len(one)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(n, anchor), pa.int64()), pa.array([digest] * n, pa.binary()), pa.array(np.full(n, doc), pa.int64()), pa.array(np.arange(n), pa.int64()), pa.array(one), pa.array(two)],
+                    ["anchor", "segment_digest", "doc_id", "place", "one", "two"],
+                )
+
+    dealt = stage(distinct.mapInArrow(each, "anchor long, segment_digest binary, doc_id long, place long, one long, two long"), "hot-windows")
+    least = stage(dealt.groupBy("one", "two").agg(F.min("doc_id").alias("least")), "hot-least")
+    found = dealt.drop("doc_id").join(least, ["one", "two"]).groupBy("anchor", "segment_digest").agg(F.array_sort(F.collect_list(F.struct("place", "least"))).alias("x"))
+    return found.select("anchor", "segment_digest", F.transform("x", lambda p: p["least"]).alias("least"))

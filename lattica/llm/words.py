@@ -100,7 +100,7 @@ def windows(hashes: np.ndarray, size: int) -> np.ndarray:
         sums = np.zeros(len(hashes) + 1, np.uint64)
         np.cumsum(hashes * power[: len(hashes)], out=sums[1:])
         total = (sums[size:] - sums[:-size]) * inverse[:n]
-    return mix(total + _U(size) * _U(0xA0761D6478BD642F))
+    return mix(total + _U(size * 0xA0761D6478BD642F & 0xFFFFFFFFFFFFFFFF))
 
 
 def inside_texts(offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
