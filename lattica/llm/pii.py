@@ -199,9 +199,8 @@ def replace(text: str, key: bytes, drawn_again: dict[tuple[str, str], int], syll
 MOST_DRAWN_AGAIN = 100_000
 
 
-def _collisions(entities: DataFrame, key: bytes) -> tuple[dict[tuple[str, str], int], int]:
-    """Draws of entities (kind, entity) beyond the first, so that no two of a kind share a surrogate and none keeps its own."""
-    syllables = 6
+def _collisions(entities: DataFrame, key: bytes, syllables: int = 6) -> tuple[dict[tuple[str, str], int], int]:
+    """Draws of entities (kind, entity) beyond the first, so that no two of a kind share a surrogate and none keeps its own; and the surname's syllables."""
     while True:
         drawn_again: dict[tuple[str, str], int] = {}
 
