@@ -99,7 +99,7 @@ def cluster(x: np.ndarray, k: int, rounds: int = 15, seed: int = 7) -> np.ndarra
     return centers.astype(np.float32)
 
 
-def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", most: int = TRAINING_TEXTS, centroids: int = CENTROIDS, reject: float = 0.1, dimensions: int = DIMENSIONS) -> Model:
+def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", most: int = TRAINING_TEXTS, centroids: int = CENTROIDS, reject: float = 0.02, dimensions: int = DIMENSIONS) -> Model:
     """Learn from rows with a text and a language: at most `most` texts of each language, those whose id and text hash least.
 
     The texts become count vectors on the executors; the driver holds languages * most of them. Texts without letters
