@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,3 +24,17 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once for each context: they need not see the driver's folders."""
+    context = spark.sparkContext
+    if getattr(context, "_lattica_shipped", False):
+        return
+    home = Path(__file__).resolve().parent
+    path = Path(tempfile.mkdtemp(prefix="lattica-code-")) / "lattica_code.zip"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for file in sorted(home.rglob("*.py")):
+            z.write(file, file.relative_to(home.parent))
+    context.addPyFile(str(path))
+    context._lattica_shipped = True

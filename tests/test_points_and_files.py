@@ -97,7 +97,7 @@ def test_loops_and_repeated_edges_add_up(spark, tmp_path):
 
 def test_adjacencylists(spark, tmp_path):
     g = adjacency.load_adjacencylist(spark, write(tmp_path, "a", "# c\n0: 2:0.5   1:0.5\n1: 0:0.5 2\n2: 0:0.5 1\n"))
-    assert metrics.conductance(g, spark.createDataFrame([(0,), (1,)], "id long")).first()[0] == pytest.approx(1.5 / 3.0)
+    assert metrics.conductance(g, spark.createDataFrame([(0,), (1,)], "id long")).first()[0] == pytest.approx(1.5 / 2.5)
     with pytest.raises(RuntimeError):
         adjacency.load_adjacencylist(spark, write(tmp_path, "b", "0: 1\n1 0\n"))
     with pytest.raises(ValueError):
