@@ -113,12 +113,18 @@ def _encipher(key: bytes, context: tuple, digits: list[int], radixes: list[int])
     return out
 
 
+_HIGH = "23456789"
 _LOW, _UP, _TEN, _HEX = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "0123456789abcdef"
 
 
-def _same_format(key: bytes, kind: str, text: str, attempt: int, hexadecimal: bool = False) -> str:
-    """Letters become letters of their case and digits digits; all other signs stay, and with them the format's domain."""
+def _same_format(key: bytes, kind: str, text: str, attempt: int, hexadecimal: bool = False, high: tuple[int, ...] = ()) -> str:
+    """Letters become letters of their case and digits digits; all other signs stay, and with them the format's domain.
+
+    Digits from 2 to 9 at the places `high` stay among those."""
     sets = [_HEX if hexadecimal and c in _HEX else next((s for s in (_TEN, _LOW, _UP) if c in s), "") for c in text]
+    for k in high:
+        if text[k] in _HIGH:
+            sets[k] = _HIGH
     free = [k for k, s in enumerate(sets) if s]
     if not free:
         return text
@@ -151,7 +157,8 @@ def surrogate(key: bytes, kind: str, entity: str, attempt: int = 0, syllables: i
         return body
     if kind == "phone":
         fixed = max(0, len(entity) - 10)
-        return entity[:fixed] + _same_format(key, f"phone{entity[:fixed]}", entity[fixed:], attempt)
+        high = (0, 3) if len(entity) - fixed == 10 and entity[:fixed] in ("", "1") else ()  # area and exchange codes of ten-digit numbers
+        return entity[:fixed] + _same_format(key, f"phone{entity[:fixed]}", entity[fixed:], attempt, high=high)
     if kind == "iban":
         return entity[:2] + _same_format(key, "iban" + entity[:2], entity[2:], attempt)
     if kind == "ip":

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .shared import stage
 
 #: Rows of a block; a pair of blocks is a task's unit of work.
-QUERY_BLOCK, CANDIDATE_BLOCK = 1024, 8192
+QUERY_BLOCK, CANDIDATE_BLOCK = 1024, 2048
 #: Larger scaled components can't be scored in 64-bit integers.
 LARGEST = 1 << 26
 
