@@ -8,10 +8,10 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import datasets
 from .functions import vectors
 from .graph import Graph, asymmetric_entries, barbell_graph, complete_graph, cycle_graph, identity_graph, star_graph
 from .operators import cluster, kde, local_graph, lsh, matrices, metrics, random_graphs, spectrum, traversal
+from .plans import datasets
 from .sources import adjacency, edgelist, matrix, text
 from .work import shared_path
 

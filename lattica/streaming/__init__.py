@@ -1,0 +1 @@
+"""Edges that arrive as files."""
