@@ -160,7 +160,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str | None = None
 
     def tokens(batches):
         counts = np.zeros(0, np.int64)
-        for batch in text_slices(batches):
+        for batch in text_slices(batches, tokenizing=True):
             flat, offsets = encode_column(batch.column("text"), tokenizer_path, end_id)
             seen = np.bincount(flat, minlength=len(counts))
             seen[: len(counts)] += counts

@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from .shared import stage, text_slices
 from .words import ALPHANUMERIC, inside_texts, words
 
-#: Bytes of items in one automaton, which is broadcast; more items go into further automata, one pass each.
-ITEM_BYTES = 32 << 20
+#: Bytes of items in one automaton, which is broadcast (some 100 MB); more items go into further automata, one pass each.
+ITEM_BYTES = 1 << 20
 #: Words that a lane streams before its run goes on in another lane.
 LANE = 256
 

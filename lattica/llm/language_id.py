@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import slices_as_they_are, text_slices
+from .shared import slices_as_they_are, stage, text_slices
 from .words import mix
 
 UNKNOWN = "und"
@@ -102,8 +102,8 @@ def cluster(x: np.ndarray, k: int, rounds: int = 15, seed: int = 7) -> np.ndarra
 def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", most: int = TRAINING_TEXTS, centroids: int = CENTROIDS, reject: float = 0.02, dimensions: int = DIMENSIONS) -> Model:
     """Learn from rows with a text and a language: at most `most` texts of each language, those whose id and text hash least.
 
-    The texts become count vectors on the executors; the driver holds languages * most of them. Texts without letters
-    teach nothing. No usable row gives a model that rejects everything.
+    The texts become count vectors and each language's centroids on the executors; the driver gets the centroids and how
+    many texts have each dimension. Texts without letters teach nothing. No usable row gives a model that rejects everything.
     """
     labelled = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     order = Window.partitionBy("lang").orderBy("h", "id")
@@ -117,20 +117,32 @@ def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col:
             blobs = [ngram_counts(t, dimensions).astype("<f4").tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("id"), pa.array(blobs, pa.binary())], ["lang", "id", "counts"])
 
-    rows = sorted(chosen.select("lang", "id", "text").mapInArrow(count, "lang string, id string, counts binary").collect(), key=lambda r: (r.lang, r.id or "", bytes(r.counts)))
-    if not rows:
+    counted = stage(chosen.select("lang", "id", "text").mapInArrow(count, "lang string, id string, counts binary"), "language-counts")
+
+    def occurring(batches):
+        texts, seen = 0, np.zeros(dimensions, np.int64)
+        for batch in batches:
+            for blob in batch.column("counts").to_pylist():
+                counts = np.frombuffer(blob, "<f4") > 0
+                texts += bool(counts.any())
+                seen += counts
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, dimensions)), pa.array(np.append(texts, seen))], ["dimension", "n"])
+
+    found = {r.dimension: r.n for r in counted.select("counts").mapInArrow(occurring, "dimension long, n long").groupBy("dimension").agg(F.sum("n").alias("n")).collect()}  # a row for each dimension
+    texts = found.pop(-1, 0)
+    if not texts:
         return Model([], np.zeros((0, dimensions), np.float32), np.ones(dimensions, np.float32), reject)
-    counts = np.stack([np.frombuffer(bytes(r.counts), "<f4") for r in rows])
-    langs = np.array([r.lang for r in rows])
-    usable = counts.any(1)
-    counts, langs = counts[usable], langs[usable]
-    idf = (np.log((1 + len(counts)) / (1 + (counts > 0).sum(0))) + 1).astype(np.float32)
-    names, centers = [], []
-    for lang in sorted(set(langs.tolist())):
-        found = cluster(weights(counts[langs == lang], idf), centroids)
-        names += [lang] * len(found)
-        centers.append(found)
-    return Model(names, np.concatenate(centers) if centers else np.zeros((0, dimensions), np.float32), idf, reject)
+    idf = (np.log((1 + texts) / (1 + np.array([found[k] for k in range(dimensions)]))) + 1).astype(np.float32)
+
+    def centers(rows: pa.Table) -> pa.Table:  # `most` texts of a language
+        rows = rows.sort_by([("id", "ascending"), ("counts", "ascending")])
+        counts = np.stack([np.frombuffer(b, "<f4") for b in rows.column("counts").to_pylist()])
+        counts = counts[counts.any(1)]
+        blobs = [c.tobytes() for c in cluster(weights(counts, idf), centroids)] if len(counts) else []
+        return pa.table({"lang": pa.array([rows.column("lang")[0].as_py()] * len(blobs), pa.string()), "center": pa.array(blobs, pa.binary())})
+
+    learnt = sorted((r.lang, bytes(r.center)) for r in counted.groupBy("lang").applyInArrow(centers, "lang string, center binary").collect())  # a few for each language
+    return Model([lang for lang, _ in learnt], np.stack([np.frombuffer(c, "<f4") for _, c in learnt]), idf, reject)
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:

@@ -141,6 +141,7 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.85, shingle: int = 5,
 
     banded = chosen.select(F.col("row_id").alias("v"), F.explode("bands").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.min("v").alias("pivot"), F.max("v").alias("last")).filter("pivot < last").select("bucket", "pivot")
+    shared = stage(shared, "shared-buckets")  # as everywhere here: a join of staged sides may split a key of many rows
     members = stage(banded.join(shared, "bucket"), "buckets")
     involved = members.select("v").distinct()
     known = stage(chosen.join(involved, F.col("row_id") == F.col("v"), "left_semi").select(F.col("row_id").alias("v"), "n_shingles", "bits", "doc_id", "text_digest"), "signatures-of-members")
@@ -185,7 +186,8 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.85, shingle: int = 5,
 
     rest = stage(members.join(labels.toDF("v", "label"), "v", "left").select("bucket", "v", "pivot", F.coalesce("label", "v").alias("label")), "bucket-labels")
     open_ = rest.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("size")).filter("least < most and size > 2")
-    rest = stage(rest.join(open_.select("bucket", "size"), "bucket"), "open-buckets")
+    open_ = stage(open_.select("bucket", "size"), "bucket-sizes")
+    rest = stage(rest.join(open_, "bucket"), "open-buckets")
     one = rest.filter(f"size <= {SMALL_BUCKET} and v > pivot")
     two = one.select("bucket", F.col("v").alias("b"), F.col("label").alias("label_b"))
     more = one.select("bucket", F.col("v").alias("a"), "label").join(two, "bucket").filter("a < b and label <> label_b").select("a", "b")
@@ -241,7 +243,7 @@ def _by_rare_shingles(crowd: DataFrame, each: DataFrame, often: DataFrame, hundr
     order = Window.partitionBy("v").orderBy("often", "shingle")
     placed = each.join(often, "shingle").withColumn("place", F.row_number().over(order))
     first = placed.filter(f"often > 1 and place <= n - ceil({hundredths} * n / 100) + 1").select("shingle", "v", "n", "place").join(crowd, "v")
-    sizes = crowd.groupBy("label").agg(F.count("*").alias("of_label"))
+    sizes = stage(crowd.groupBy("label").agg(F.count("*").alias("of_label")), "crowd-labels")
     first = stage(first.join(sizes, "label"), "rare-shingles")
     fits = f"""label <> label2 and 100 * least(n, n2) >= {hundredths} * greatest(n, n2)
         and least(n - place, n2 - place2) + 1 >= ceil({hundredths} * (n + n2) / {100 + hundredths})"""

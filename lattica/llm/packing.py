@@ -114,7 +114,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int
         from pyspark import TaskContext
 
         task, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-        for batch in text_slices(batches):
+        for batch in text_slices(batches, tokenizing=True):
             flat, offsets = encode_column(batch.column("text"), tokenizer_path, end_id)
             raw, rows = flat.astype("<u4").tobytes(), []
             for key, begin, end in zip(batch.column("id").to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):

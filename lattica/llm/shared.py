@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -52,8 +55,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def text_slices(batches: Iterable[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES, rows: int = 4096) -> Iterator[pa.RecordBatch]:
-    """The batches in slices of about `most` bytes of text and at most `rows` rows; null text becomes empty."""
+def text_slices(batches: Iterable[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES, rows: int = 4096, tokenizing: bool = False) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about `most` bytes of text and at most `rows` rows; null text becomes empty.
+
+    Workers outlive their tasks: unless the task is `tokenizing`, what an earlier one kept of tokenizers goes.
+    """
+    tokens = sys.modules.get("lattica.llm.tokens")
+    if tokens and not tokenizing:
+        tokens.release()
     for batch in slices_as_they_are(batches, column, most, rows):
         at = batch.schema.get_field_index(column)
         texts = batch.column(at)
@@ -74,6 +83,14 @@ def slices_as_they_are(batches: Iterable[pa.RecordBatch], column: str = "text",
             end = min(begin + rows, max(begin + 1, int(np.searchsorted(ends, before + most, side="right"))))
             yield batch.slice(begin, end - begin)
             begin = end
+    _give_back()
+
+
+def _give_back() -> None:
+    """Return freed memory to the system at a task's end."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def packed_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -185,6 +185,7 @@ def covered_spans(docs: DataFrame, window: int = 50, gram: int = 10, id_col: str
     first = scanned.join(classes, (scanned.words_digest == classes.words_digest) & (F.col("doc_id") == F.col("first_id")), "left_semi")
     occurring = first.select("doc_id", "words_digest", F.explode(F.array_distinct("anchors")).alias("anchor"))
     shared = occurring.groupBy("anchor").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("anchor")
+    shared = stage(shared, "anchors-of-two")  # staged, so that the join may split an anchor of many documents
     wanted = stage(occurring.join(shared, "anchor").groupBy("doc_id", "words_digest").agg(F.collect_set("anchor").alias("wanted")), "shared-anchors")  # a row has its own document's anchors
 
     def cut(batches):

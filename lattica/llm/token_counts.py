@@ -57,7 +57,7 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
 
     def encode(batches):
         encoder = tokenizer(path)
-        for batch in text_slices(batches):
+        for batch in text_slices(batches, tokenizing=True):
             counts = np.diff(encoder.encode(batch.column("text"))[1])
             sizes = pc.binary_length(batch.column("text"))
             yield pa.RecordBatch.from_arrays(

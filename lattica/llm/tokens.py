@@ -18,7 +18,7 @@ import pyarrow as pa
 from .words import UNSPACED, Words, mix, words
 
 #: Entries of a worker's table, which starts anew when it is full (about 50 bytes each), and its slots.
-TABLE_ENTRIES, TABLE_SLOTS = 2_000_000, 1 << 22
+TABLE_ENTRIES, SLOT_BITS = 1_000_000, 21
 
 _LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
 _WORD = re.compile(f"[{_LATIN}]+")
@@ -55,7 +55,7 @@ class PieceTokenizer:
         self._clear()
 
     def _clear(self) -> None:
-        self.keys, self.entry = np.zeros(TABLE_SLOTS, np.uint64), np.zeros(TABLE_SLOTS, np.int32)
+        self.keys, self.entry = np.zeros(1 << SLOT_BITS, np.uint64), np.zeros(1 << SLOT_BITS, np.int32)
         self.n, self.n_ids = 0, 0
         self.head, self.size = np.zeros(1024, np.uint64), np.zeros(1024, np.int32)
         self.at, self.length = np.zeros(1024, np.int32), np.zeros(1024, np.int32)  # length -1: a piece that can't be cut here
@@ -119,14 +119,14 @@ class PieceTokenizer:
     def _find(self, keys: np.ndarray) -> np.ndarray:
         """The entries of keys, -1 where there is none."""
         out = np.full(len(keys), -1, np.int32)
-        slot = (keys >> np.uint64(42)).astype(np.int64)
+        slot = (keys >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
         todo = np.arange(len(keys))
         while len(todo):
             held = self.keys[slot]
             same = held == keys[todo]
             out[todo[same]] = self.entry[slot[same]]
             further = ~same & (held != 0)
-            todo, slot = todo[further], (slot[further] + 1) & (TABLE_SLOTS - 1)
+            todo, slot = todo[further], (slot[further] + 1) & ((1 << SLOT_BITS) - 1)
         return out
 
     def _add(self, w: Words, places: np.ndarray, keys: np.ndarray, heads: np.ndarray, sizes: np.ndarray, leads: np.ndarray) -> None:
@@ -144,14 +144,14 @@ class PieceTokenizer:
         self.head[new], self.size[new], self.length[new] = heads, sizes, lengths
         self.at[new] = self.n_ids + np.cumsum(np.maximum(lengths, 0)) - np.maximum(lengths, 0)
         self.ids[self.n_ids : m] = flat
-        entries, slot = np.arange(self.n, n, dtype=np.int32), (keys >> np.uint64(42)).astype(np.int64)
+        entries, slot = np.arange(self.n, n, dtype=np.int32), (keys >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
         self.n, self.n_ids = n, m
         while len(entries):
             free = self.keys[slot] == 0
             tried = np.flatnonzero(free)
             self.keys[slot[tried]], self.entry[slot[tried]] = keys[tried], entries[tried]  # of those that want a slot the last has it
             left = self.keys[slot] != keys
-            entries, keys, slot = entries[left], keys[left], (slot[left] + 1) & (TABLE_SLOTS - 1)
+            entries, keys, slot = entries[left], keys[left], (slot[left] + 1) & ((1 << SLOT_BITS) - 1)
 
     def _piece(self, word: str, lead: str) -> list[int] | None:
         """The ids of a word with the sign before it; None if its end is white space, where it must not be cut."""
@@ -204,6 +204,11 @@ def tokenizer(path: str) -> PieceTokenizer:
     return _HELD[path]
 
 
+def release() -> None:
+    """Forget the tokenizer that this process holds."""
+    _HELD.clear()
+
+
 def vocabulary_size(path: str) -> int:
     """Ids lie below this."""
     return max(tokenizer(path).tokenizer.get_vocab(with_added_tokens=True).values(), default=0) + 1
