@@ -1,9 +1,8 @@
 """Removal of repeated passages by compressed FM-indexes.
 
 Two documents that share a window of `window` words share its anchor: the run of `gram` words of least hash in it. So
-shards are made by anchor. Only anchors that occur in two documents matter; around each occurrence, the at most
-2 * window - gram words that its windows span become a segment, and equal segments of an anchor are one row with their smallest
-document. Each task builds FM-indexes over its segments: the Burrows-Wheeler transform in a wavelet matrix, with the smallest
+shards are made by anchor. Only anchors that occur in two documents matter; the words of the windows that have one there, at
+most 2 * window - gram, become a segment, and equal segments of an anchor are one row with their smallest document. Each task builds FM-indexes over its segments: the Burrows-Wheeler transform in a wavelet matrix, with the smallest
 document of each class of suffixes that agree in `window` words. Streamed back to front through the index, every
 segment keeps its longest match, at most `window` words; where that is full, the class tells the smallest document
 in which these words start. A smaller one than the segment's own marks the window.
@@ -18,6 +17,7 @@ others are covered whole if they have a window at all.
 from __future__ import annotations
 
 import hashlib
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import stage, text_slices
-from .words import UNSPACED, mix, windows, words
+from .words import UNSPACED, inside_texts, mix, windows, words
 
 #: Words of segments in one index; an anchor is never split.
 INDEX_WORDS = 400_000
@@ -125,31 +125,41 @@ class FMIndex:
         return out
 
 
-def _sliding(x: np.ndarray, size: int, best) -> np.ndarray:
-    """best (minimum or maximum) of every `size` neighbours; len(x) - size + 1 of them."""
-    n, reach, y = len(x) - size + 1, 1, x
-    while 2 * reach <= size:
-        y = best(y[:-reach], y[reach:])
-        reach *= 2
-    return best(y[:n], y[size - reach : size - reach + n])
+class Anchors(NamedTuple):
+    """Stretches of windows that have one anchor, in order: its place and hash, and the first and last window's begin."""
 
+    places: np.ndarray
+    hashes: np.ndarray
+    firsts: np.ndarray
+    lasts: np.ndarray
 
-def anchors(hashes: np.ndarray, offsets: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the grams that are least in some window of their text."""
+
+def anchors(hashes: np.ndarray, offsets: np.ndarray, window: int, gram: int) -> Anchors:
+    """The anchor of a window is its gram of least hash, the first one of equals; every window of a text is in one stretch."""
+    none = np.zeros(0, np.int64)
     if len(hashes) < window:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return Anchors(none, none.astype(np.uint64), none, none)
     grams = windows(hashes, gram)
-    reach = window - gram + 1
-    least = _sliding(grams, reach, np.minimum)
-    counts = np.maximum(np.diff(offsets) - window + 1, 0)
-    valid = np.zeros(len(least) + 1, np.int64)
-    np.add.at(valid, offsets[:-1][counts > 0], 1)
-    np.add.at(valid, (offsets[:-1] + counts)[counts > 0], -1)
-    least[np.cumsum(valid[:-1]) == 0] = 0  # windows across texts have no anchor
-    around = np.zeros(len(grams) + reach - 1, np.uint64)
-    around[reach - 1 : reach - 1 + len(least)] = least
-    places = np.flatnonzero((_sliding(around, reach, np.maximum) == grams) & (grams > 0))
-    return places, grams[places]
+    reach, done = window - gram + 1, 1
+    least, place = grams, np.arange(len(grams))
+
+    def lesser(by: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+        right = least[by : by + n] < least[:n]
+        return np.where(right, least[by : by + n], least[:n]), np.where(right, place[by : by + n], place[:n])
+
+    while 2 * done <= reach:
+        least, place = lesser(done, len(least) - done)
+        done *= 2
+    n = len(grams) - reach + 1
+    least, place = lesser(reach - done, n) if reach > done else (least[:n], place[:n])
+    begins, _ = inside_texts(offsets, window)
+    if not len(begins):
+        return Anchors(none, none.astype(np.uint64), none, none)
+    own = place[begins]
+    # windows of two texts have no anchor in common, and those of one text follow each other
+    edges = np.flatnonzero(np.diff(own) != 0) + 1
+    first = np.concatenate([[0], edges])
+    return Anchors(own[first], grams[own[first]], begins[first], begins[np.append(edges, len(begins)) - 1])
 
 
 def covered_spans(docs: DataFrame, window: int = 50, gram: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -165,10 +175,9 @@ def covered_spans(docs: DataFrame, window: int = 50, gram: int = 10, id_col: str
     def scan(batches):
         for batch in text_slices(batches):
             w = words(batch.column("text"), UNSPACED, False)
-            places, hashes = anchors(w.hashes, w.offsets, window, gram)
-            owner = np.searchsorted(w.offsets, places, side="right") - 1
-            bounds = np.searchsorted(owner, np.arange(batch.num_rows + 1))
-            signed = hashes.astype(np.int64)
+            found = anchors(w.hashes, w.offsets, window, gram)
+            bounds = np.searchsorted(found.firsts, w.offsets)
+            signed = found.hashes.astype(np.int64)
             digests = []
             for k in range(batch.num_rows):
                 whole = b" ".join(w.data[w.bounds[k] : w.bounds[k + 1]].tobytes().split())  # bytes.split() knows the same white space
@@ -191,20 +200,18 @@ def covered_spans(docs: DataFrame, window: int = 50, gram: int = 10, id_col: str
     def cut(batches):
         for batch in text_slices(batches, most=1 << 19):
             w = words(batch.column("text"), UNSPACED, False)
-            places, hashes = anchors(w.hashes, w.offsets, window, gram)
-            owner = np.searchsorted(w.offsets, places, side="right") - 1
-            bounds = np.searchsorted(owner, np.arange(batch.num_rows + 1))
+            found = anchors(w.hashes, w.offsets, window, gram)
+            bounds = np.searchsorted(found.firsts, w.offsets)
+            signed = found.hashes.astype(np.int64)
             rows = []
             for k, (key, digest, wanted_) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("words_digest").to_pylist(), batch.column("wanted"), strict=True)):
                 if hashlib.sha256(b" ".join(w.data[w.bounds[k] : w.bounds[k + 1]].tobytes().split())).digest() != digest:
                     continue  # another text under the same id
                 of = slice(bounds[k], bounds[k + 1])
-                use = np.isin(hashes[of].astype(np.int64), wanted_.values.to_numpy())
-                begin, end = int(w.offsets[k]), int(w.offsets[k + 1])
-                for place, anchor in zip(places[of][use].tolist(), hashes[of][use].astype(np.int64).tolist(), strict=True):
-                    a, b = max(begin, place - (window - gram)), min(end, place + window)
-                    segment = w.hashes[a:b].tobytes()
-                    rows.append((anchor, hashlib.blake2b(segment, digest_size=16).digest(), key, digest, a - begin, segment))
+                use = np.isin(signed[of], wanted_.values.to_numpy())
+                for anchor, a, b in zip(signed[of][use].tolist(), found.firsts[of][use].tolist(), found.lasts[of][use].tolist(), strict=True):
+                    segment = w.hashes[a : b + window].tobytes()
+                    rows.append((anchor, hashlib.blake2b(segment, digest_size=16).digest(), key, digest, a - int(w.offsets[k]), segment))
             if rows:
                 types = [pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["anchor", "segment_digest", "doc_id", "words_digest", "start", "segment"])
