@@ -516,6 +516,25 @@ def ckns_kde(spark, sf_dir):
     return kde.ckns_kde(x, x, 1.0)
 
 
+@query("""WITH n AS (SELECT count(*) AS n, ceil(log2(count(*)))::BIGINT AS top FROM embeddings),
+ t AS (SELECT n, top, top - 2 * k AS log_nmu FROM n, (SELECT unnest(range(64)) AS k) WHERE k <= ceil(top / 2.0)),
+ j AS (SELECT n, top, log_nmu, unnest(range(top - log_nmu + 1)) AS j FROM t)
+ SELECT log_nmu::INTEGER AS log_nmu, j::INTEGER AS shell, least(1.0, CASE WHEN j = 0 THEN 1.0 / n ELSE pow(2.0, -j - log_nmu) END)::DOUBLE AS p, round(j * ln(2) / 1.5, 6) AS radius_squared FROM j""")
+def ckns_parameters(spark, sf_dir):
+    """Sampling rates and radii of all shells of all levels."""
+    n = datasets.read(spark, sf_dir, "embeddings").count()
+    rows = [(t, j, kde.sampling_probability(j, t, n, 0), round(kde.shell_radius_squared(j, 1.5), 6)) for t in kde.ckns_levels(n, 1 / n) for j in range(kde.shells(n, t) + 1)]
+    return spark.createDataFrame(rows, "log_nmu int, shell int, p double, radius_squared double")
+
+
+@query()
+def ckns_hash_parameters(spark, sf_dir):
+    """Functions and tables of the hash that would serve each shell of the lowest level."""
+    n = datasets.read(spark, sf_dir, "embeddings").count()
+    total = kde.shells(n, 0)
+    return spark.createDataFrame([(j, *kde.lsh_parameters(total, j, 1.5, 0.1)) for j in range(1, total + 1)], "shell int, functions int, tables int")
+
+
 @query()
 def approximate_similarity_graph(spark, sf_dir):
     return kde.approximate_similarity_graph(datasets.embedding_points(spark, sf_dir), 1.0).edges
