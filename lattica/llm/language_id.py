@@ -100,17 +100,25 @@ def cluster(x: np.ndarray, k: int, rounds: int = 15, seed: int = 7) -> np.ndarra
 
 
 def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", most: int = TRAINING_TEXTS, centroids: int = CENTROIDS, reject: float = 0.02, dimensions: int = DIMENSIONS) -> Model:
-    """Learn from rows with a text and a language: at most `most` texts of each language, those whose id and text hash least.
+    """Learn from rows with a text and a language: at most `most` texts of each language, those whose id hashes least.
 
     The texts become count vectors and each language's centroids on the executors; the driver gets the centroids and how
     many texts have each dimension. Texts without letters teach nothing. No usable row gives a model that rejects everything.
     """
-    labelled = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    lang, key = F.col(lang_col).cast("string"), F.col(id_col).cast("string")
+    labelled = docs.filter(F.col(lang_col).isNotNull()).select(lang.alias("lang"), key.alias("id"), F.xxhash64(key, F.lit(11)).alias("h"))
+    # of a common language only hashes below a bound go on, some four times as many as are wanted, so ranks are few in any task
+    found = labelled.groupBy("lang").count().collect()  # a row for each language
+    top = (1 << 63) - 1
+    bound = {r.lang: min(top, 2 * top * (4 * most + 100) // r["count"] - top) for r in found}
+    if not bound:
+        return Model([], np.zeros((0, dimensions), np.float32), np.ones(dimensions, np.float32), reject)
+    bounds = F.create_map(*[x for k, v in bound.items() for x in (F.lit(k), F.lit(v).cast("long"))])
     order = Window.partitionBy("lang").orderBy("h", "id")
-    digests = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(id_col).cast("string").alias("id"), F.xxhash64(F.col(id_col).cast("string"), F.lit(11)).alias("h"))
-    sample = digests.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most).select("lang", "id")  # ranks are cut before the shuffle
-    texts = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
+    sample = labelled.filter(F.col("h") <= bounds[F.col("lang")]).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most).select("lang", "id")
+    texts = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(lang.alias("lang"), key.alias("id"), F.col(text_col).alias("text"))
     chosen = texts.join(F.broadcast(sample.distinct()), ["lang", "id"], "left_semi")  # languages * most rows
+    chosen = chosen.groupBy("lang", "id").agg(F.min("text").alias("text"))  # an id that rows repeat counts once
 
     def count(batches):
         for batch in text_slices(batches):
@@ -128,11 +136,11 @@ def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col:
                 seen += counts
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, dimensions)), pa.array(np.append(texts, seen))], ["dimension", "n"])
 
-    found = {r.dimension: r.n for r in counted.select("counts").mapInArrow(occurring, "dimension long, n long").groupBy("dimension").agg(F.sum("n").alias("n")).collect()}  # a row for each dimension
-    texts = found.pop(-1, 0)
-    if not texts:
+    seen_in = {r.dimension: r.n for r in counted.select("counts").mapInArrow(occurring, "dimension long, n long").groupBy("dimension").agg(F.sum("n").alias("n")).collect()}  # a row for each dimension
+    n_texts = seen_in.pop(-1, 0)
+    if not n_texts:
         return Model([], np.zeros((0, dimensions), np.float32), np.ones(dimensions, np.float32), reject)
-    idf = (np.log((1 + texts) / (1 + np.array([found[k] for k in range(dimensions)]))) + 1).astype(np.float32)
+    idf = (np.log((1 + n_texts) / (1 + np.array([seen_in[k] for k in range(dimensions)]))) + 1).astype(np.float32)
 
     def centers(rows: pa.Table) -> pa.Table:  # `most` texts of a language
         rows = rows.sort_by([("id", "ascending"), ("counts", "ascending")])
