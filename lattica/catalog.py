@@ -13,7 +13,7 @@ from .graph import Graph, asymmetric_entries, barbell_graph, complete_graph, cyc
 from .operators import cluster, kde, local_graph, lsh, matrices, metrics, random_graphs, spectrum, traversal
 from .plans import datasets
 from .sources import adjacency, edgelist, matrix, text
-from .work import shared_path
+from .work import shared_path, stage
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -658,7 +658,8 @@ def local_cluster_acl(spark, sf_dir):
 
 @query()
 def local_cluster(spark, sf_dir):
-    return cluster.local_cluster(random_graphs.sbm(spark, 200, 4, 0.6, 0.005), 10, 1500.0)
+    g = random_graphs.sbm(spark, 200, 4, 0.6, 0.005)
+    return cluster.local_cluster(Graph(stage(g.edges, "sbm"), g.n), 10, 1500.0)
 
 
 @query()
@@ -672,6 +673,12 @@ def kmeans(spark, sf_dir):
     return cluster.kmeans(datasets.embedding_points(spark, sf_dir), 10)
 
 
+@query()
+def spectral_cluster_embeddings(spark, sf_dir):
+    """The full similarity graph of all embeddings, in ten clusters."""
+    return cluster.spectral_cluster(kde.similarity_graph(datasets.embedding_points(spark, sf_dir), 1.0), 10)
+
+
 @query()
 def random_unit_vector(spark, sf_dir):
     return spectrum.random_unit_vector(spark, 100)
