@@ -18,7 +18,7 @@ import pyarrow as pa
 from .words import UNSPACED, Words, mix, words
 
 #: Entries of a worker's table, which starts anew when it is full (about 50 bytes each), and its slots.
-TABLE_ENTRIES, SLOT_BITS = 1_000_000, 21
+TABLE_ENTRIES, SLOT_BITS = 2_000_000, 22
 
 _LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
 _WORD = re.compile(f"[{_LATIN}]+")
