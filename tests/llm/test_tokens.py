@@ -88,7 +88,7 @@ def test_plans_place_every_piece_once(counts):
             used[x] = used.get(x, 0) + times
     assert used == {k: n for k, n in counts.items() if n}
     total = sum(k * n for k, n in counts.items())
-    assert sequences <= max(-(-total // 40), 1) * 1.3 + 2  # first-fit decreasing never needs more than 11/9 of the best
+    assert sequences <= 2 * total / 40 + 1  # what opens a sequence fits in none before
 
 
 def test_exact_complements_are_found():
