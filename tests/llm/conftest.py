@@ -1,6 +1,10 @@
 import random
 
 import pytest
+from hypothesis import settings
+
+settings.register_profile("same", derandomize=True, deadline=None)
+settings.load_profile("same")
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
