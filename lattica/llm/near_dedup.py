@@ -192,20 +192,23 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.85, shingle: int = 5,
     two = one.select("bucket", F.col("v").alias("b"), F.col("label").alias("label_b"))
     more = one.select("bucket", F.col("v").alias("a"), "label").join(two, "bucket").filter("a < b and label <> label_b").select("a", "b")
     crowded = rest.filter(f"size > {SMALL_BUCKET}")
-    if not crowded.isEmpty():
+    some_crowded = not crowded.isEmpty()
+    if some_crowded:
         each, often = _crowd_shingles(crowded.select("v").distinct(), full_sets)
         # members with the commonest shingles are near the middle of their group and link much of it
         middle = stage(each.join(often, "shingle").groupBy("v").agg(F.avg("often").alias("score")), "crowd-middles")
         order = Window.partitionBy("bucket").orderBy(F.desc("score"), "v")
         middles = crowded.join(middle, "v").withColumn("rank", F.row_number().over(order)).filter(f"rank <= {MIDDLES}")
         middles = stage(middles.select("bucket", F.col("v").alias("a"), F.col("label").alias("label_a")), "middles")
-        around = crowded.join(middles, "bucket").filter("label <> label_a").select(F.least("a", "v").alias("a"), F.greatest("a", "v").alias("b"))
-        links = stage(links.unionByName(confirm(around)), "links")
-        labels = component_labels(links.toDF("a", "b"), stage)
-        crowd = crowded.select("v").distinct().join(labels.toDF("v", "label"), "v", "left").select("v", F.coalesce("label", "v").alias("label"))
-        more = more.unionByName(_by_rare_shingles(stage(crowd, "crowd"), each, often, hundredths))
+        more = more.unionByName(crowded.join(middles, "bucket").filter("label <> label_a").select(F.least("a", "v").alias("a"), F.greatest("a", "v").alias("b")))
     links = stage(links.unionByName(confirm(more)), "links")
     labels = component_labels(links.toDF("a", "b"), stage)
+    if some_crowded:
+        crowd = crowded.select("v").distinct().join(labels.toDF("v", "label"), "v", "left").select("v", F.coalesce("label", "v").alias("label"))
+        apart = stage(_by_rare_shingles(stage(crowd, "crowd"), each, often, hundredths), "pairs-apart")
+        if not apart.isEmpty():
+            links = stage(links.unionByName(confirm(apart)), "links")
+            labels = component_labels(links.toDF("a", "b"), stage)
 
     labelled = classes.join(labels.toDF("v", "label"), "v", "left").withColumn("label", F.coalesce("label", "v"))
     smallest = labelled.groupBy("label").agg(F.min("first_id").alias("component_id"), F.min("best").alias("best"))
