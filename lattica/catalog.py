@@ -500,6 +500,12 @@ def similarity_graph(spark, sf_dir):
     return rounded(kde.similarity_graph(datasets.embedding_points(spark, sf_dir).filter("id < 100"), 1.0).edges, "weight")
 
 
+@query()
+def similarity_graph_embeddings(spark, sf_dir):
+    """Edges among all embeddings; similarity_graph and its SQL hold those of the first hundred."""
+    return rounded(kde.similarity_graph(datasets.embedding_points(spark, sf_dir), 1.0).edges, "weight")
+
+
 @query(f"""WITH k AS (SELECT a.vec_id AS id, b.vec_id AS j, exp(-1.0 * {_PAIR}) AS k FROM embeddings a, embeddings b),
  r AS (SELECT id, j, sum(k) OVER (PARTITION BY id ORDER BY j ROWS UNBOUNDED PRECEDING) AS upto, sum(k) OVER (PARTITION BY id) AS total FROM k),
  w AS (SELECT id, draw, ((id * 7919 + draw * 104729 + 11) % 10007) / 10007.0 AS u FROM (SELECT DISTINCT id FROM k), (VALUES (0), (1)) t(draw))
