@@ -582,6 +582,13 @@ def lsh_near_neighbors(spark, sf_dir):
     return lsh.E2LSH(_FUNCTIONS, _TABLES, x, 64).near_neighbours(x.filter("id < 50"))
 
 
+@query()
+def lsh_near_neighbors_embeddings(spark, sf_dir):
+    """Bucket partners of all embeddings; lsh_near_neighbors and its SQL ask for the first fifty."""
+    x = datasets.embedding_points(spark, sf_dir)
+    return lsh.E2LSH(_FUNCTIONS, _TABLES, x, 64).near_neighbours(x)
+
+
 @query()
 def e2lsh_collision_probability(spark, sf_dir):
     rows = [(c, vectors.line_collision_probability(c), vectors.table_collision_probability(5, 10, c)) for c in (0.0, 0.05, 0.2, 0.99, 1.0, 1.5, 2.0, 5.6)]

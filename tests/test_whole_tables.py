@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 
 from lattica import catalog
+from lattica.operators import lsh
 
 
 @pytest.fixture(scope="module")
@@ -22,3 +23,13 @@ def test_similarity_graph_of_all_embeddings(spark, sf_dir, embeddings):
     got[edges.i.map(place), edges.j.map(place)] = edges.weight
     assert len(edges) == (want > 1e-10).sum() == len(ids) ** 2
     assert np.abs(got - want).max() < 1e-6
+
+
+def test_near_neighbours_of_all_embeddings(spark, sf_dir, embeddings):
+    ids, x = embeddings
+    out = catalog.QUERIES["lsh_near_neighbors_embeddings"](spark, sf_dir).toPandas()
+    functions = [lsh.MultiLSHFunction(64, catalog._FUNCTIONS, 42 * 1_000_003 + t) for t in range(catalog._TABLES)]
+    together = np.any([np.equal.outer(b, b) for b in (f.of_matrix(x) for f in functions)], axis=0)
+    i, j = np.nonzero(together)
+    assert set(out.query_id) == set(ids)
+    assert sorted(zip(out.query_id, out.id)) == sorted(zip(ids[i], ids[j]))
