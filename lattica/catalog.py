@@ -355,7 +355,8 @@ def is_connected(spark, sf_dir):
 
 @query(graph_sql(", q(id) AS (SELECT min(id) FROM d UNION SELECT j FROM q JOIN e ON e.i = q.id) SELECT id, 0::BIGINT AS component FROM q", recursive=True), "components_part_supplier")
 def components_part_supplier(spark, sf_dir):
-    return traversal.connected_components(ps(spark, sf_dir)).filter("component = 0")
+    """Of all vertices; the SQL follows the first component, which is the only one where every part and supplier is sold."""
+    return traversal.connected_components(ps(spark, sf_dir))
 
 
 # sweeps and conductance

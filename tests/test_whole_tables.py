@@ -33,3 +33,11 @@ def test_near_neighbours_of_all_embeddings(spark, sf_dir, embeddings):
     i, j = np.nonzero(together)
     assert set(out.query_id) == set(ids)
     assert sorted(zip(out.query_id, out.id)) == sorted(zip(ids[i], ids[j]))
+
+
+def test_components_of_unsold_parts(spark, tmp_path):
+    for name, column, n in (("part", "p_partkey", 4), ("supplier", "s_suppkey", 3)):
+        pd.DataFrame({column: range(n)}).to_parquet(tmp_path / f"{name}.parquet")
+    pd.DataFrame({"l_partkey": [0, 1, 2], "l_suppkey": [0, 0, 1], "l_quantity": [1.0, 2.0, 3.0]}).to_parquet(tmp_path / "lineitem.parquet")
+    out = catalog.QUERIES["components_part_supplier"](spark, str(tmp_path)).collect()
+    assert sorted((r.id, r.component) for r in out) == [(0, 0), (1, 0), (2, 2), (3, 3), (4, 0), (5, 2), (6, 6)]
