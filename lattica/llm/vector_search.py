@@ -19,12 +19,12 @@ from .shared import stage
 
 #: Rows of a block; a pair of blocks is a task's unit of work.
 QUERY_BLOCK, CANDIDATE_BLOCK = 1024, 2048
-#: Larger scaled components can't be scored in 64-bit integers.
-LARGEST = 1 << 26
+#: Scaled components from here on are no 64-bit integers.
+LARGEST = 2.0**63
 
 
 def quantised(vectors: DataFrame, scale: int, id_col: str, vector_col: str) -> DataFrame:
-    """(id, v, norm2): floor(scale * x) of each component; vectors that are null, empty or hold null, non-finite or huge components are left out."""
+    """(id, v, norm2): floor(scale * x) of each component; vectors that are null, empty or hold null or non-finite components, or any of 2^63 or more when scaled, are left out."""
     scaled = F.transform(vector_col, lambda x: F.floor(x.cast("double") * scale))
     usable = F.col(vector_col).isNotNull() & (F.size(vector_col) > 0) & F.forall(vector_col, lambda x: x.isNotNull() & (F.abs(x.cast("double")) * scale < LARGEST))
     rows = vectors.filter(F.coalesce(usable, F.lit(False)) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), scaled.cast("array<long>").alias("v"))
@@ -91,7 +91,8 @@ def top_inner_products(vectors: DataFrame, queries: DataFrame, k: int = 10, scal
         x, q = _matrix(block.column("v").combine_chunks(), width), _matrix(ask.column("v").combine_chunks(), width)
         ids, asked_ids = block.column("id").to_numpy(), ask.column("id").to_numpy()
         xr, qr = x.astype(np.float64) @ basis, q.astype(np.float64) @ basis
-        exact = np.abs(x).max(initial=0) * np.abs(q).max(initial=0) * width < 1 << 52
+        highest = int(np.abs(x).max(initial=0)) * int(np.abs(q).max(initial=0)) * width
+        exact, fits = highest < 1 << 52, highest < 1 << 63
         xf, qf = x.astype(np.float64), q.astype(np.float64)
         x_left, q_left = np.linalg.norm(xr[:, head:], axis=1), np.linalg.norm(qr[:, head:], axis=1)
         room = 1e-6 * (1 + np.linalg.norm(xr, axis=1).max(initial=0) * np.linalg.norm(qr, axis=1))
@@ -104,7 +105,10 @@ def top_inner_products(vectors: DataFrame, queries: DataFrame, k: int = 10, scal
                 keep = np.flatnonzero((ids != asked_ids[j]) & (row >= (-np.inf if floor_ is None else floor_[j])))
                 if not len(keep):
                     continue
-                scores = np.rint(xf[keep] @ qf[j]).astype(np.int64) if exact else x[keep] @ q[j]
+                if exact:
+                    scores = np.rint(xf[keep] @ qf[j]).astype(np.int64)
+                else:  # a score that is no 64-bit integer raises
+                    scores = x[keep] @ q[j] if fits else (x[keep].astype(object) @ q[j].astype(object)).astype(np.int64)
                 best = _best(scores, ids[keep], k)
                 out.append((np.full(len(best), asked_ids[j]), ids[keep][best], scores[best]))
         columns = [np.concatenate(c) if out else np.zeros(0, np.int64) for c in (zip(*out, strict=True) if out else [[]] * 3)]
