@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from .shared import stage, text_slices
 from .words import ALPHANUMERIC, inside_texts, words
 
-#: Bytes of items in one automaton, which is broadcast (some 100 MB); more items go into further automata, one pass each.
-ITEM_BYTES = 1 << 20
+#: Bytes of items in one automaton, which is broadcast (some 20 MB), and automata that one pass over the documents holds.
+ITEM_BYTES, PASS_AUTOMATA = 1 << 20, 8
 #: Words that a lane streams before its run goes on in another lane.
 LANE = 256
 
@@ -43,7 +43,7 @@ class Automaton:
             last = 0
             for c in tokens[a:b]:
                 last = _extend(go, link, length, last, c)
-        self.link, self.length = np.array(link, np.int64), np.array(length, np.int64)
+        self.link, self.length = np.array(link, np.int32), np.array(length, np.int32)
         self._store(go)
         self._name(go, tokens, ranges)
 
@@ -51,7 +51,7 @@ class Automaton:
         """Transitions in an open-addressed table: key state * words + word, -1 where empty."""
         self.width = max(1, len(self.vocabulary))
         pairs = [(s * self.width + c, t) for s, moves in enumerate(go) for c, t in moves.items()]
-        size = 1 << max(4, (4 * len(pairs)).bit_length())
+        size = 1 << max(4, (2 * len(pairs)).bit_length())
         self.mask = size - 1
         keys, to = [-1] * size, [0] * size
         for key, t in pairs:
@@ -59,26 +59,30 @@ class Automaton:
             while keys[slot] >= 0:
                 slot = (slot + 1) & self.mask
             keys[slot], to[slot] = key, t
-        self.keys, self.to = np.array(keys, np.int64), np.array(to, np.int64)
+        self.keys, self.to = np.array(keys, np.int64), np.array(to, np.int32)
 
     def _name(self, go: list[dict[int, int]], tokens: list[int], ranges: list[tuple[int, int]]) -> None:
-        """`capped`: the state of a state's last `window` words; `items_of`: items with those words; `whole`: shorter items that end there."""
-        self.capped = np.full(len(self.link), -1, np.int64)
+        """`capped`: the state of a state's last `window` words; `item`: the first item with those words, `more`: its others; `whole`: shorter items that end there."""
+        self.capped = np.full(len(self.link), -1, np.int32)
+        self.item = np.full(len(self.link), -1, np.int32)
         for s in np.argsort(self.length, kind="stable").tolist()[1:]:
             if self.length[s] >= self.window:
                 up = self.link[s]
                 self.capped[s] = self.capped[up] if self.length[up] >= self.window else s
-        items_of: dict[int, set[int]] = {}
+        self.more: dict[int, list[int]] = {}
         ends: dict[int, list[tuple[int, int]]] = {}
         for k, (a, b) in enumerate(ranges):
             s = 0
             for i, c in enumerate(tokens[a:b]):
                 s = go[s][c]
                 if i + 1 >= self.window:
-                    items_of.setdefault(int(self.capped[s]), set()).add(k)
+                    q = int(self.capped[s])
+                    if self.item[q] < 0:
+                        self.item[q] = k
+                    elif self.item[q] != k and k not in self.more.setdefault(q, []):
+                        self.more[q].append(k)
             if 0 < b - a < self.window:
                 ends.setdefault(s, []).append((b - a, k))
-        self.items_of = items_of
         self.whole: dict[int, list[tuple[int, int]]] = {}
         for s in np.argsort(self.length, kind="stable").tolist()[1:]:
             if found := ends.get(s, []) + self.whole.get(int(self.link[s]), []):
@@ -145,8 +149,10 @@ class Automaton:
             full = np.flatnonzero(matched >= self.window)
             if len(full):
                 spans.append((place[full] + 1 - matched[full], place[full] + 1))
-                for q, p in zip(self.capped[state[full]].tolist(), place[full].tolist(), strict=True):
-                    pairs += [(p, item) for item in self.items_of.get(q, ())]
+                own = self.capped[state[full]]
+                pairs += zip(place[full].tolist(), self.item[own].tolist(), strict=True)
+                if self.more:
+                    pairs += [(p, item) for q, p in zip(own.tolist(), place[full].tolist(), strict=True) for item in self.more.get(q, ())]
             for lane in np.flatnonzero(self.has_whole[state]).tolist():
                 for n, item in self.whole[int(state[lane])]:
                     if matched[lane] >= n:
@@ -200,65 +206,78 @@ def decontaminate(
     row of an item, or a whole shorter item. with_text adds `clean_text`: the text without its hit words and what lies between
     them, with a line end in each gap; equal to the text where nothing is hit. max_coverage drops rows with a larger share of
     hit words. Null and wordless texts have no words and are clean (clean_text of null stays null); items without words match
-    nothing; repeated items and rows count each; an empty item table leaves all clean. Columns of `keep` must not bear the names above.
+    nothing; repeated items and rows count each; an empty item table leaves all clean. Columns of `keep` that bear a name above stay as they are, each in its place.
+
+    Items beyond ITEM_BYTES lie in several automata, of which a pass holds PASS_AUTOMATA; every further pass reads the texts, but returns only what it has found.
     """
     spark = docs.sparkSession
     keep = keep or []
     items = items.select(F.col(item_id_col).cast("string").alias("item"), F.col(item_text_col).alias("text")).filter("item is not null")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = max(1, -(-total // ITEM_BYTES))
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *keep)
-    if groups > 1:
+    kept = [f"k{i}" for i in range(len(keep))]
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *(F.col(c).alias(k) for c, k in zip(keep, kept, strict=True)))
+    several = groups > PASS_AUTOMATA
+    if several:
         texts = stage(texts.withColumn("row_id", F.monotonically_increasing_id()), "numbered-documents")
-    extra = texts.select(*keep, *["row_id"] * (groups > 1))
-    kept = extra.columns
-    schema = ", ".join(["doc_id " + texts.schema["doc_id"].dataType.simpleString(), "n_words long, spans array<struct<a:int,b:int>>, item_ids array<string>", "text string", *(f"`{f.name}` {f.dataType.simpleString()}" for f in extra.schema)])
-
-    def passed(group: int) -> DataFrame:
+    held = []
+    for group in range(groups):
         part = items.filter(F.pmod(F.xxhash64("item"), F.lit(groups)) == group) if groups > 1 else items
-        held = spark.sparkContext.broadcast(Automaton([(r.item, r.text) for r in part.collect()], window))  # of ITEM_BYTES at most, by the groups
+        held.append(spark.sparkContext.broadcast(Automaton([(r.item, r.text) for r in part.collect()], window)))  # of ITEM_BYTES, by the groups
+    found_schema = "spans array<struct<a:int,b:int>>, item_ids array<string>"
+    carried = ["doc_id", *(["text"] if with_text else []), *kept, *["row_id"] * several]
 
+    def matcher(some, names: list[str], all_rows: bool):
         def match(batches):
-            automaton = held.value
+            automata = [h.value for h in some]
             for batch in batches:
-                plain = batch.column("text")
                 found_spans: list[list] = [[] for _ in range(batch.num_rows)]
                 found_items: list[set] = [set() for _ in range(batch.num_rows)]
                 counts = np.zeros(batch.num_rows, np.int64)
-                numbered = pa.RecordBatch.from_arrays([pa.array(np.arange(batch.num_rows)), plain], ["row", "text"])
-                for part_ in text_slices([numbered]):
-                    base = part_.column("row")[0].as_py()
-                    w = words(part_.column("text"), ALPHANUMERIC, True)
-                    counts[base : base + part_.num_rows] = w.counts
-                    hit, pairs = automaton.stream(w.hashes, w.offsets)
-                    for p, item in pairs:
-                        found_items[base + int(np.searchsorted(w.offsets, p, side="right")) - 1].add(automaton.item_ids[item])
+                numbered = pa.RecordBatch.from_arrays([pa.array(np.arange(batch.num_rows)), batch.column("text")], ["row", "text"])
+                for part in text_slices([numbered]):
+                    base = part.column("row")[0].as_py()
+                    w = words(part.column("text"), ALPHANUMERIC, True)
+                    counts[base : base + part.num_rows] = w.counts
+                    hit = np.zeros(len(w.hashes), bool)
+                    for automaton in automata:
+                        one, pairs = automaton.stream(w.hashes, w.offsets)
+                        hit |= one
+                        for p, item in set(pairs):
+                            found_items[base + int(np.searchsorted(w.offsets, p, side="right")) - 1].add(automaton.item_ids[item])
                     for k in np.unique(np.searchsorted(w.offsets, np.flatnonzero(hit), side="right") - 1).tolist():
                         flags = np.diff(np.concatenate([[0], hit[w.offsets[k] : w.offsets[k + 1]].astype(np.int8), [0]]))
                         found_spans[base + k] = [{"a": a, "b": b} for a, b in zip(np.flatnonzero(flags == 1).tolist(), np.flatnonzero(flags == -1).tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), pa.array(counts), pa.array(found_spans, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))), pa.array([sorted(x) for x in found_items], pa.list_(pa.string())),
-                     plain if with_text or groups > 1 else pa.nulls(batch.num_rows, pa.string()), *(batch.column(c) for c in kept)],
-                    ["doc_id", "n_words", "spans", "item_ids", "text", *kept],
-                )
-
-        return texts.mapInArrow(match, schema)
-
-    found = passed(0)
-    if groups > 1:
-        for group in range(1, groups):
-            found = found.unionByName(passed(group))
-        once = [F.first(c, ignorenulls=False).alias(c) for c in ("doc_id", "n_words", "text", *keep)]
-        lists = [F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids")]
-        found = found.groupBy("row_id").agg(*once, *lists)  # a row for each group and row
-        found = found.withColumn("spans", _merged(F.col("spans")))
+                columns = [
+                    *(batch.column(c) for c in names), pa.array(counts), pa.array(found_spans, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))),
+                    pa.array([sorted(x) for x in found_items], pa.list_(pa.string())),
+                ]
+                out = pa.RecordBatch.from_arrays(columns, [*names, "n_words", "spans", "item_ids"])
+                yield out if all_rows else out.filter(pa.array([len(x) > 0 for x in found_items], pa.bool_()))
+
+        schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in texts.schema if f.name in names), "n_words long", found_schema])
+        order = [f.name for f in texts.schema if f.name in names]
+        return texts.select(*order, *["text"] * ("text" not in order)).mapInArrow(match, schema)
+
+    carried = [f.name for f in texts.schema if f.name in carried]
+    found = matcher(held[:PASS_AUTOMATA], carried, True)
+    if several:
+        rest = [matcher(held[k : k + PASS_AUTOMATA], ["row_id"], False) for k in range(PASS_AUTOMATA, groups, PASS_AUTOMATA)]
+        more = rest[0]
+        for x in rest[1:]:
+            more = more.unionByName(x)
+        more = more.groupBy("row_id").agg(F.flatten(F.collect_list("spans")).alias("more_spans"), F.flatten(F.collect_list("item_ids")).alias("more_items"))  # a row for each pass that found something
+        found = found.join(stage(more, "matches-of-passes"), "row_id", "left")
+        both = lambda a, b, kind: F.concat(a, F.coalesce(b, F.array().cast(kind)))
+        found = found.withColumn("spans", _merged(both("spans", "more_spans", "array<struct<a:int,b:int>>"))).withColumn("item_ids", F.array_sort(F.array_distinct(both("item_ids", "more_items", "array<string>"))))
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["b"] - s["a"])
     found = found.withColumn("n_hit", n_hit).withColumn("contaminated", F.col("n_hit") > 0)
     if max_coverage is not None:
         found = found.filter(F.col("n_hit") <= max_coverage * F.col("n_words"))
+    columns = ["doc_id", "n_words", "n_hit", "item_ids", "contaminated"]
     if not with_text:
-        return found.select("doc_id", "n_words", "n_hit", "item_ids", "contaminated", *keep)
-    columns = found.select("doc_id", "n_words", "n_hit", "item_ids", "contaminated", *keep, "text", "spans")
+        return found.select(*columns, *kept).toDF(*columns, *keep)
+    cuts = found.select(*columns, *kept, "text", "spans")
 
     def cut(batches):
         for batch in batches:
@@ -269,8 +288,8 @@ def decontaminate(
             names = batch.schema.names[:-2]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(texts_, pa.string())], [*names, "clean_text"])
 
-    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in columns.schema[:-2]) + ", clean_text string"
-    return columns.mapInArrow(cut, out)
+    out = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cuts.schema[:-2]) + ", clean_text string"
+    return cuts.mapInArrow(cut, out).toDF(*columns, *keep, "clean_text")
 
 
 def without_words(text: str, spans: list[tuple[int, int]]) -> str:
