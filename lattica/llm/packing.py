@@ -1,10 +1,11 @@
 """Best-fit packing by exact-complement hashing.
 
-The plan needs only how many pieces each length has: at most `capacity` numbers, whatever the corpus. Lengths
-are taken from the longest down. The gap that a piece leaves is looked up among the single lengths, the sums of
-pairs and the sums of triples that are still available, and a combination that fills the gap exactly is consumed;
-where none does, the longest single length below the gap is (best fit), and the rest of the gap is looked up
-anew. The sequence so made is repeated as often as its lengths last: one run of the plan, `times` sequences alike. A step uses up a length or all but one of its pieces, so the plan has a few runs per length.
+The plan needs only how many pieces each length has: at most `capacity` numbers, whatever the corpus. It is made in two passes
+over the lengths from the longest down. In the first, the gap that a piece leaves is looked up in an index of the available
+lengths and of the sums of two of them, and so of three (a length and an indexed pair); a combination that fills it exactly is consumed, and
+a length whose gap none fills is set aside. A set-aside length is part of no later combination, which would have been its own.
+The second pass packs the residuals by best fit: the longest that fits the gap, again and again, unless the index has an exact
+end for it. A sequence is repeated as often as its lengths last: one run of the plan, `times` sequences alike. A run uses up a length or all but one of its pieces, so the plan has a few runs per length.
 
 Pieces meet the plan by rank: the r-th piece of a length takes the r-th place that the plan holds for it. Ranks are
 counted per (task, length) where texts are encoded, and put behind those of earlier tasks by a running sum
@@ -26,6 +27,57 @@ from .tokens import encode_column
 PIECES = "doc_id long, piece int, start long, length long, ids binary, ids_crc32 long, task long, place long"
 
 
+class Sums:
+    """How many pieces there are of each length, and in how many ways two lengths that are available make each sum."""
+
+    def __init__(self, have: np.ndarray):
+        self.have, self.capacity = have.copy(), len(have) - 1
+        there = (have > 0).astype(np.int64)
+        twice = np.zeros(self.capacity + 1, np.int64)
+        half = self.capacity // 2
+        twice[0 : 2 * half + 1 : 2] = there[: half + 1]
+        self.pairs = (np.convolve(there, there)[: self.capacity + 1] - twice) // 2
+        twice[0 : 2 * half + 1 : 2] = have[: half + 1] >= 2
+        self.pairs += twice
+
+    def take(self, length: int, n: int = 1) -> None:
+        before, left = int(self.have[length]), int(self.have[length]) - n
+        self.have[length] = left
+        if left < 2 <= before and 2 * length <= self.capacity:
+            self.pairs[2 * length] -= 1
+        if left == 0 < before:
+            self.pairs[length + 1 :] -= self.have[1 : self.capacity + 1 - length] > 0
+
+    def fill(self, gap: int) -> list[int]:
+        """One, two or three available lengths whose sum is the gap, the fewest and then the longest first; or none."""
+        if self.have[gap]:
+            return [gap]
+        if gap > 1 and self.pairs[gap] > 0:
+            return self._pair(gap)
+        first = np.arange(gap - 2, 0, -1)
+        for x in first[(self.have[first] > 0) & (self.pairs[gap - first] > 0)].tolist():
+            if pair := self._pair(gap - x, x):  # x itself may be all that the pair has
+                return [x, *pair]
+        return []
+
+    def _pair(self, total: int, spent: int = 0) -> list[int]:
+        """Two available lengths of this sum beside a spent one, the longer first, or none."""
+        half = total // 2
+        have = self.have[: total + 1].copy()
+        if 0 < spent <= total:
+            have[spent] -= 1
+        both = (have[1 : half + 1] > 0) & (have[total - half : total][::-1] > 0)
+        if total % 2 == 0 and have[half] < 2:
+            both[half - 1] = False
+        k = int(both.argmax()) if len(both) else 0
+        return [total - k - 1, k + 1] if len(both) and both[k] else []
+
+    def longest(self, most: int) -> int:
+        """The longest available length up to `most`, 0 if none."""
+        free = np.flatnonzero(self.have[: most + 1])
+        return int(free[-1]) if len(free) else 0
+
+
 def plan_runs(counts: dict[int, int], capacity: int) -> list[tuple[int, tuple[int, ...]]]:
     """(times, lengths in their order) of each run, for counts of lengths from 1 to capacity."""
     have = np.zeros(capacity + 1, np.int64)
@@ -34,57 +86,45 @@ def plan_runs(counts: dict[int, int], capacity: int) -> list[tuple[int, tuple[in
             raise ValueError(f"length {length} is outside 1 to {capacity}")
         have[length] = n
     runs: list[tuple[int, tuple[int, ...]]] = []
+
+    def repeat(sums: Sums, lengths: list[int]) -> None:
+        """The sequence of these lengths, whose pieces have been taken, as often as there are more of them."""
+        used = np.bincount(lengths, minlength=capacity + 1)
+        of = np.flatnonzero(used)
+        more = int((sums.have[of] // used[of]).min())
+        for x in of.tolist():
+            sums.take(x, more * int(used[x]))
+        runs.append((1 + more, tuple(lengths)))
+
+    sums, residual = Sums(have), np.zeros(capacity + 1, np.int64)
+    for longest in range(capacity, 0, -1):
+        while sums.have[longest]:
+            sums.take(longest)
+            more = sums.fill(capacity - longest) if longest < capacity else []
+            if longest < capacity and not more:
+                residual[longest] = 1 + sums.have[longest]
+                sums.take(longest, int(sums.have[longest]))
+                break
+            for x in more:
+                sums.take(x)
+            repeat(sums, [longest, *more])
+    sums = Sums(residual)
     for longest in range(capacity, 0, -1):
-        while have[longest]:
-            have[longest] -= 1  # the piece that opens the sequence
-            lengths = [longest]
-            gap = capacity - longest
-            while gap and (more := _fill(have, gap)):
-                np.subtract.at(have, more, 1)
+        while sums.have[longest]:
+            lengths, gap = [longest], capacity - longest
+            sums.take(longest)
+            while gap:
+                more = sums.fill(gap) or [sums.longest(gap)]
+                if not more[0]:
+                    break
+                for x in more:
+                    sums.take(x)
                 lengths += more
                 gap -= sum(more)
-            have_used = np.bincount(lengths, minlength=capacity + 1)
-            used = np.flatnonzero(have_used)
-            times = 1 + int((have[used] // have_used[used]).min())
-            have[used] -= (times - 1) * have_used[used]
-            runs.append((times, tuple(int(x) for x in lengths)))
+            repeat(sums, lengths)
     return runs
 
 
-def _fill(have: np.ndarray, gap: int) -> list[int]:
-    """Available lengths whose sum is the gap, fewest first; else the longest below it; else none."""
-    if have[gap]:
-        return [gap]
-    free = np.flatnonzero(have[: gap + 1])
-    if not len(free):
-        return []
-    top = int(free[-1])
-    if gap <= 2 * top and (pair := _pair(have, gap)):
-        return pair
-    if gap <= 3 * top:
-        for x in free[np.searchsorted(free, max(1, gap - 2 * top)) : np.searchsorted(free, gap - 1)][::-1]:
-            have[x] -= 1
-            pair = _pair(have, gap - int(x))
-            have[x] += 1
-            if pair:
-                return [int(x), *pair]
-    return [top]
-
-
-def _pair(have: np.ndarray, total: int) -> list[int]:
-    """Two available lengths of this sum, the longer one first, or none."""
-    if total < 2:
-        return []
-    half = total // 2
-    small = have[1 : half + 1] > 0
-    large = have[total - half : total][::-1] > 0
-    both = small & large
-    if total % 2 == 0 and have[half] < 2:
-        both[half - 1] = False
-    k = int(both.argmax())
-    return [total - k - 1, k + 1] if both[k] else []
-
-
 def _places(runs: list[tuple[int, tuple[int, ...]]]) -> dict[int, tuple[np.ndarray, ...]]:
     """For each length the ranks at which its slots begin, and each slot's first sequence and offset."""
     slots: dict[int, list[tuple[int, int, int]]] = {}
