@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -10,13 +12,26 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir; where that is unset (tests), below a temporary one."""
+def shared_folder(spark: SparkSession) -> str:
+    """This application's folder below spark.checkpoint.dir, which all executors see.
+
+    Where that is unset, a local session (as in tests) gets a temporary folder, which goes when the process ends; on a cluster
+    no folder of one machine would do, so there it raises.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='lattica-')}"
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="lattica-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        base = f"file://{folder}"
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/lattica/{name}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/lattica/{spark.sparkContext.applicationId}"
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new folder for a table of this application."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -26,13 +41,21 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> None:
+    """Delete all that this application has staged. For when its results have been written elsewhere: they are read from there."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, once for each context: they need not see the driver's folders."""
     context = spark.sparkContext
     if getattr(context, "_lattica_shipped", False):
         return
     home = Path(__file__).resolve().parent
-    path = Path(tempfile.mkdtemp(prefix="lattica-code-")) / "lattica_code.zip"
+    folder = tempfile.mkdtemp(prefix="lattica-code-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = Path(folder) / "lattica_code.zip"
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
         for file in sorted(home.rglob("*.py")):
             z.write(file, file.relative_to(home.parent))
