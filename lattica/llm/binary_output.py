@@ -4,12 +4,12 @@ A block is a byte string that needs nothing but the code lengths:
 
     magic "HUF1" | u32 documents | u32 ids | u32 step | u32 payload bytes
     u32 x documents: ids of each document | u64 x documents: their ids (signed, two's complement)
-    u32 x ceil(ids / step): bit offset of every step-th id in the payload
+    u32 x ceil(ids / step): bit offset of every step-th id in the payload (u64 and magic "HUF2" where 32 bits are too few)
     payload: the codes, most significant bit first, padded to 4 bytes and 8 bytes of zeros
 
 Blocks lie in Parquet, one a row with its place, so any store that Spark reaches holds them and any block
-is read alone. The codes come from global counts: package-merge gives lengths of at most `max_bits`, and
-canonical order gives the codes, so a file of lengths restores them. Decoding follows all checkpoints of a block
+is read alone. The codes come from global counts: package-merge gives lengths of at most `max_bits` (more where so many bits
+can't tell all ids of the corpus apart), and canonical order gives the codes, so a file of lengths restores them. Decoding follows all checkpoints of a block
 side by side: each is a lane, and a table of 2^max_bits entries gives the id and length at a lane's bit.
 """
 
@@ -24,10 +24,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import new_path, stage, text_slices
-from .tokens import encode_column, vocabulary_size
+from lattica.work import shared_path
 
-MAGIC, HEAD = b"HUF1", struct.Struct("<4sIIII")
+from .shared import stage, text_slices
+from .tokens import Vocabulary, encode_column
+
+HEAD = struct.Struct("<4sIIII")
+#: A block's magic, and the type of its checkpoints.
+MAGIC = {b"HUF1": "<u4", b"HUF2": "<u8"}
+#: Bits of a payload from which on checkpoints take 64 bits.
+WIDE = 1 << 32
 #: Ids between bit-offset checkpoints, and ids of a block; a longer document is a block of its own.
 STEP, BLOCK_IDS = 64, 1 << 18
 
@@ -98,15 +104,13 @@ class Code:
         ends = np.cumsum(n)
         at = ends - n
         total = int(ends[-1]) if len(ids) else 0
-        if total >= 1 << 32:
-            raise ValueError("a block's bits must fit 32-bit offsets")
         words = (total + 31) // 32 + 1
         # each code lies in at most two 32-bit words, and bits never overlap, so sums are unions
         shifted = self.code[ids] << (64 - n - (at & 31)).astype(np.uint64)
         word = at >> 5
         high = np.bincount(word, (shifted >> np.uint64(32)).astype(np.float64), words)
         high[1:] += np.bincount(word, (shifted & np.uint64(0xFFFFFFFF)).astype(np.float64), words)[:-1]
-        return at[::step].astype("<u4"), high.astype(np.uint64).astype(">u4").tobytes() + b"\0" * 8
+        return at[::step].astype("<u8" if total >= WIDE else "<u4"), high.astype(np.uint64).astype(">u4").tobytes() + b"\0" * 8
 
     def decode(self, checkpoints: np.ndarray, payload: bytes, n_ids: int, step: int = STEP) -> np.ndarray:
         words = np.frombuffer(payload, ">u4").astype(np.uint64)
@@ -128,19 +132,20 @@ class Code:
 
 def write_block(code: Code, doc_ids: np.ndarray, sizes: np.ndarray, ids: np.ndarray, step: int = STEP) -> bytes:
     checkpoints, payload = code.encode(ids, step)
-    return HEAD.pack(MAGIC, len(sizes), len(ids), step, len(payload)) + sizes.astype("<u4").tobytes() + doc_ids.astype("<i8").tobytes() + checkpoints.tobytes() + payload
+    magic = next(m for m, kind in MAGIC.items() if checkpoints.dtype == kind)
+    return HEAD.pack(magic, len(sizes), len(ids), step, len(payload)) + sizes.astype("<u4").tobytes() + doc_ids.astype("<i8").tobytes() + checkpoints.tobytes() + payload
 
 
 def read_block(code: Code, block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Document ids, their numbers of ids, and all ids."""
     magic, docs, n_ids, step, size = HEAD.unpack_from(block)
-    if magic != MAGIC:
+    if magic not in MAGIC:
         raise ValueError("not a block of this format")
     at = HEAD.size
     sizes = np.frombuffer(block, "<u4", docs, at)
     doc_ids = np.frombuffer(block, "<i8", docs, at := at + 4 * docs)
-    checkpoints = np.frombuffer(block, "<u4", -(-n_ids // step), at := at + 8 * docs)
-    at += 4 * len(checkpoints)
+    checkpoints = np.frombuffer(block, MAGIC[magic], -(-n_ids // step), at := at + 8 * docs)
+    at += checkpoints.nbytes
     return doc_ids, sizes, code.decode(checkpoints, block[at : at + size], n_ids, step)
 
 
@@ -154,14 +159,15 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str | None = None
     no blocks. Every task also stages the counts of its ids, so the global counts need no pass over them; one shuffle, by ranges of the id.
     """
     spark = docs.sparkSession
-    folder = folder or new_path(spark, "tokens")
-    narrow = max(end_id + 1, vocabulary_size(tokenizer_path)) <= 1 << 16  # staged ids then take two bytes
+    folder = folder or shared_path(spark, "tokens")
+    vocabulary = Vocabulary(spark, tokenizer_path)
+    narrow = max(end_id + 1, vocabulary.size) <= 1 << 16  # staged ids then take two bytes
     width = 2 if narrow else 4
 
     def tokens(batches):
         counts = np.zeros(0, np.int64)
         for batch in text_slices(batches, tokenizing=True):
-            flat, offsets = encode_column(batch.column("text"), tokenizer_path, end_id)
+            flat, offsets = encode_column(batch.column("text"), vocabulary, end_id)
             seen = np.bincount(flat, minlength=len(counts))
             seen[: len(counts)] += counts
             counts = seen
@@ -192,7 +198,8 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str | None = None
             yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], ["token", "n"])
 
     counted = staged.select("counts").filter("counts is not null").mapInArrow(histogram, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    lengths = code_lengths({r.token: r.n for r in counted.collect()}, max_bits)  # a row for each id of the vocabulary
+    counts = {r.token: r.n for r in counted.collect()}  # a row for each id of the vocabulary
+    lengths = code_lengths(counts, max(max_bits, len(counts).bit_length()))
     spark.createDataFrame(sorted(lengths.items()), "token long, bits int").coalesce(1).write.mode("overwrite").parquet(f"{folder}/codes")
 
     def blocks(batches):

@@ -261,16 +261,19 @@ def _by_rare_shingles(crowd: DataFrame, each: DataFrame, often: DataFrame, hundr
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs, with all their columns, that near_duplicates makes keepers: one of each component.
+    """The rows of docs, with all their columns of whatever names, that near_duplicates makes keepers: one of each component.
 
     Rows without shingles all stay. Where rows repeat both id and text, one of them stays.
     """
-    marked = stage(near_duplicates(docs, id_col=id_col, text_col=text_col, **options), "marked-documents")
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    plain = docs.toDF(*names)
+    key, text = (names[docs.columns.index(c)] for c in (id_col, text_col))
+    marked = stage(near_duplicates(plain, id_col=key, text_col=text, **options), "marked-documents")
     keepers = marked.filter("keeper").select(F.col("doc_id").alias("keeper_id"), F.col("text_digest").alias("keeper_digest"), (F.col("n_shingles") == 0).alias("blank")).distinct()
     repeated = not marked.filter("n_shingles > 0").groupBy("doc_id", "text_digest").count().filter("count > 1").isEmpty()
-    digested = docs.withColumn("keeper_text", F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))))
-    on = F.col(id_col).cast("long").eqNullSafe(F.col("keeper_id")) & (F.col("keeper_text") == F.col("keeper_digest"))
+    digested = plain.withColumn("own_digest", F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))))
+    on = F.col(key).cast("long").eqNullSafe(F.col("keeper_id")) & (F.col("own_digest") == F.col("keeper_digest"))
     out = digested.join(keepers.hint("shuffle_hash"), on)
     if repeated:
-        out = out.filter("not blank").dropDuplicates([id_col, "keeper_text"]).unionByName(out.filter("blank"))
-    return out.select(*docs.columns)
+        out = out.filter("not blank").dropDuplicates([key, "own_digest"]).unionByName(out.filter("blank"))
+    return out.select(*names).toDF(*docs.columns)

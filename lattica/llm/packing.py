@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import stage, text_slices
-from .tokens import encode_column
+from .tokens import Vocabulary, encode_column
 
 PIECES = "doc_id long, piece int, start long, length long, ids binary, ids_crc32 long, task long, place long"
 
@@ -150,12 +150,14 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int
     staged table; the plan is made on the driver from at most `capacity` counts.
     """
     spark = docs.sparkSession
+    vocabulary = Vocabulary(spark, tokenizer_path)
+
     def pieces(batches):
         from pyspark import TaskContext
 
         task, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for batch in text_slices(batches, tokenizing=True):
-            flat, offsets = encode_column(batch.column("text"), tokenizer_path, end_id)
+            flat, offsets = encode_column(batch.column("text"), vocabulary, end_id)
             raw, rows = flat.astype("<u4").tobytes(), []
             for key, begin, end in zip(batch.column("id").to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
                 for k, at in enumerate(range(begin, end, capacity)):

@@ -1,12 +1,10 @@
-"""What the operators share: the shared work folder, staged tables, and batch helpers."""
+"""What the operators share: staged tables and batch helpers."""
 
 from __future__ import annotations
 
 import contextlib
 import ctypes
 import sys
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -14,27 +12,16 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from lattica.work import shared_path
+
 #: Bytes of text that a Python worker holds as arrays at once; a longer single text is one slice.
 SLICE_BYTES = 1 << 20
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which all executors see; where that is unset (tests), a temporary one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='lattica-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark).rstrip('/')}/lattica/{name}-{uuid.uuid4().hex}"
-
-
 def stage(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Write df to the shared folder and read it back, which cuts its lineage and survives lost executors."""
     spark = df.sparkSession
-    path = path or new_path(spark, name)
+    path = path or shared_path(spark, name)
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -7,26 +7,18 @@ it lacks are encoded, and their counts are appended to it. Counts then go back t
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import new_path, stage, text_slices
-from .tokens import tokenizer
-
-CACHE_SCHEMA = "content_digest binary, version_digest string, n_bytes long, n_tokens long"
+from lattica.work import shared_path
 
+from .shared import stage, text_slices
+from .tokens import Vocabulary, tokenizer
 
-def tokenizer_version(path: str) -> str:
-    """A digest of the tokenizer's file and its library's version; another one never meets old counts."""
-    import tokenizers
-
-    with open(path, "rb") as f:
-        return hashlib.sha256(tokenizers.__version__.encode() + b"\0" + f.read()).hexdigest()
+CACHE_SCHEMA = "content_digest binary, version_digest string, n_bytes long, n_tokens long"
 
 
 def content_digest(text: Column) -> Column:
@@ -42,8 +34,9 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     stays null; other columns of docs are not read.
     """
     spark = docs.sparkSession
-    version = tokenizer_version(path)
-    cache_path = cache_path or new_path(spark, "token-cache")
+    vocabulary = Vocabulary(spark, path)
+    version = vocabulary.digest  # another file or library version never meets old counts
+    cache_path = cache_path or shared_path(spark, "token-cache")
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     keyed = texts.select("id", content_digest(F.col("text")).alias("content_digest"), F.octet_length("text").cast("long").alias("n_bytes"))
 
@@ -56,7 +49,7 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     )
 
     def encode(batches):
-        encoder = tokenizer(path)
+        encoder = tokenizer(vocabulary)
         for batch in text_slices(batches, tokenizing=True):
             counts = np.diff(encoder.encode(batch.column("text"))[1])
             sizes = pc.binary_length(batch.column("text"))

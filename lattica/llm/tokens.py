@@ -9,11 +9,14 @@ for all words of a slice at once. Any other text goes to the library as a whole.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 from .words import UNSPACED, Words, mix, words
 
@@ -39,10 +42,11 @@ _MARKS = _byte_marks()
 class PieceTokenizer:
     """encode(texts) gives what tokenizer.encode(text, add_special_tokens=False).ids gives for each."""
 
-    def __init__(self, path: str):
+    def __init__(self, file: str | bytes):
+        """Of a vocabulary file's path or content."""
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = Tokenizer.from_buffer(file) if isinstance(file, bytes) else Tokenizer.from_file(file)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.model = self.tokenizer.model
@@ -193,15 +197,31 @@ def _drops_space(spec: dict) -> bool:
     return plain and usual and split.get("type") == "Split" and split.get("invert") is True and split.get("behavior") == "Removed" and "[^\\s" in pattern and "(?" not in pattern and " " not in pattern and "|\\s" not in pattern
 
 
+class Vocabulary:
+    """A tokenizer's file, which the driver reads and sends to the executors: they need not see the driver's folders.
+
+    The digest is of the file and the library's version.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        import tokenizers
+
+        content = Path(path).read_bytes()
+        self.digest = hashlib.sha256(tokenizers.__version__.encode() + b"\0" + content).hexdigest()
+        self.held = spark.sparkContext.broadcast(content)  # a few megabytes
+        ids = tokenizers.Tokenizer.from_buffer(content).get_vocab(with_added_tokens=True).values()
+        self.size = max(ids, default=0) + 1  # ids lie below this
+
+
 _HELD: dict[str, PieceTokenizer] = {}
 
 
-def tokenizer(path: str) -> PieceTokenizer:
-    """One for each path and Python worker, so the memo outlives a task."""
-    if path not in _HELD:
+def tokenizer(vocabulary: Vocabulary) -> PieceTokenizer:
+    """One for each vocabulary and Python worker, so the memo outlives a task."""
+    if vocabulary.digest not in _HELD:
         _HELD.clear()
-        _HELD[path] = PieceTokenizer(path)
-    return _HELD[path]
+        _HELD[vocabulary.digest] = PieceTokenizer(vocabulary.held.value)
+    return _HELD[vocabulary.digest]
 
 
 def release() -> None:
@@ -209,12 +229,7 @@ def release() -> None:
     _HELD.clear()
 
 
-def vocabulary_size(path: str) -> int:
-    """Ids lie below this."""
-    return max(tokenizer(path).tokenizer.get_vocab(with_added_tokens=True).values(), default=0) + 1
-
-
-def encode_column(texts: pa.Array, path: str, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+def encode_column(texts: pa.Array, vocabulary: Vocabulary, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """All ids (unsigned 32-bit) in a row with end_id after each text's, and the n + 1 offsets; null is empty."""
-    ids, offsets = tokenizer(path).encode(texts)
+    ids, offsets = tokenizer(vocabulary).encode(texts)
     return np.insert(ids, offsets[1:], np.uint32(end_id)), offsets + np.arange(len(offsets))

@@ -1,10 +1,13 @@
 """Sizes beyond which operators go another way, made small or passed."""
 
 import numpy as np
+import public_tokenizers
 import pytest
 from test_text_operators import ITEMS, TEXTS, brute_hits
 
-from lattica.llm import decontamination
+from lattica.llm import binary_output, decontamination
+
+BYTE = public_tokenizers.path("byte_bpe_50k.json")
 
 
 @pytest.mark.parametrize("automata", [1, 2])
@@ -31,3 +34,28 @@ def test_twenty_megabytes_of_items(spark):
     docs, table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string").repartition(8)
     out = decontamination.decontaminate(docs, table).orderBy("doc_id").collect()
     assert [(r.n_words, r.n_hit, list(r.item_ids)) for r in out] == want
+
+
+def test_codes_of_a_large_vocabulary():
+    """130,000 distinct ids need more than 16 bits."""
+    rng = np.random.default_rng(1)
+    x = np.concatenate([np.arange(130_000), (rng.zipf(1.2, 50_000) % 130_000)]).astype(np.uint32)
+    counts = dict(enumerate(np.bincount(x).tolist()))
+    code = binary_output.Code(binary_output.code_lengths(counts, max(16, len(counts).bit_length())))
+    _, _, back = binary_output.read_block(code, binary_output.write_block(code, np.array([3]), np.array([len(x)]), x))
+    assert (back == x).all()
+
+
+def test_blocks_beyond_32_bit_offsets(monkeypatch):
+    monkeypatch.setattr(binary_output, "WIDE", 1000)
+    x = (np.random.default_rng(2).zipf(1.3, 5000) % 300).astype(np.uint32)
+    code = binary_output.Code(binary_output.code_lengths({int(i): int(c) for i, c in enumerate(np.bincount(x)) if c}))
+    block = binary_output.write_block(code, np.array([3]), np.array([len(x)]), x)
+    assert block[:4] == b"HUF2" and (binary_output.read_block(code, block)[2] == x).all()
+
+
+def test_files_of_more_ids_than_bits(odd, spark):
+    """max_bits too small for the corpus's ids grows."""
+    out = binary_output.read_tokens(spark, binary_output.write_tokens(odd, BYTE, max_bits=3)).collect()
+    want = {r.doc_id: bytes(r.ids) for r in binary_output.read_tokens(spark, binary_output.write_tokens(odd, BYTE)).collect() if r.doc_id != 7}
+    assert {r.doc_id: bytes(r.ids) for r in out if r.doc_id != 7} == want
