@@ -12,11 +12,29 @@ from lattica.llm.shared import small_batches, stage, table
 MAX_COVERAGE = 0.5
 
 
+def _plain(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs with its columns under names that no operator uses, and those names: whatever else documents carry, a stage neither meets nor changes."""
+    of = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*of.values()), of
+
+
+def _back(out: DataFrame, of: dict[str, str], text: str | None = None) -> DataFrame:
+    """The columns as they were called; with `text`, the text and n_chars are those of that column."""
+    new = {}
+    if text:
+        new[of["text"]] = F.col(text)
+        if "n_chars" in of:
+            new[of["n_chars"]] = F.char_length(text).cast(out.schema[of["n_chars"]].dataType)
+    return out.select(*(new.get(c, F.col(c)).alias(c) for c in of.values())).toDF(*of)
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents in one of the languages learnt from the labelled ones."""
+    """Keep documents in one of the languages learnt from the labelled ones; those without letters, or too far from all languages for their length, go."""
     small_batches(spark)
     model = language_id.fit(queries.training_rows(docs))
-    return language_id.identify(docs, model, keep=docs.columns).filter(F.col("lang_pred") != language_id.UNKNOWN).select(*docs.columns)
+    plain, of = _plain(docs)
+    out = language_id.identify(plain, model, text_col=of["text"], keep=plain.columns)
+    return _back(out.filter(F.col("lang_pred") != language_id.UNKNOWN), of)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,15 +45,19 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut the benchmark's passages out, and drop documents that are mostly those."""
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    out = decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"), window=10, max_coverage=MAX_COVERAGE, with_text=True, keep=others)
-    return _counted(out.withColumn("text", F.col("clean_text")), docs.columns)
+    plain, of = _plain(docs)
+    out = decontamination.decontaminate(
+        plain, table(spark, sf_dir, "benchmark"), window=10, max_coverage=MAX_COVERAGE, id_col=of["doc_id"], text_col=of["text"], with_text=True,
+        keep=[c for c in plain.columns if c != of["text"]],
+    )
+    return _back(out.withColumn(of["text"], F.lit(None).cast("string")), of, "clean_text")
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Put surrogates in the place of personal data and secrets."""
     small_batches(spark)
-    return _counted(pii.pseudonymise(docs, queries.SURROGATE_KEY), docs.columns)
+    plain, of = _plain(docs)
+    return _back(pii.pseudonymise(plain, queries.SURROGATE_KEY, text_col=of["text"]), of, of["text"])
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,11 +66,6 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return packing.pack(docs, queries.vocabulary("word_bpe_49k.json"), capacity=4096, end_id=1, with_ids=False)
 
 
-def _counted(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """The columns of documents, with n_chars for the text as it is now."""
-    return docs.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType) if "n_chars" in columns else F.lit(0)).select(*columns)
-
-
 STAGES = [
     ("language ID", identify_language),
     ("near-duplicates", drop_near_duplicates),
