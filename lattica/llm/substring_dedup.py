@@ -2,13 +2,17 @@
 
 Two documents that share a window of `window` words share its anchor: the run of `gram` words of least hash in it. So
 shards are made by anchor. Only anchors that occur in two documents matter; the words of the windows that have one there, at
-most 2 * window - gram, become a segment, and equal segments of an anchor are one row with their smallest document. Each task builds FM-indexes over its segments: the Burrows-Wheeler transform in a wavelet matrix, with the smallest
-document of each class of suffixes that agree in `window` words. Streamed back to front through the index, every
-segment keeps its longest match, at most `window` words; where that is full, the class tells the smallest document
-in which these words start. A smaller one than the segment's own marks the window.
+most 2 * window - gram, become a segment, and equal segments of an anchor are one row with their smallest document.
 
-An anchor that occurs more than HOT_SEGMENTS times is no task's work: its windows are dealt out by two hashes of all their words,
-and the smallest document of each comes from partial minima.
+An anchor of a passage that very many documents have is a crowd, as its segments differ in the words around the passage. A crowd
+is cut by content until it is none: first its windows are dealt out by a second anchor, of which again only those of two documents
+matter; then windows of one document alone are cut off, which makes segments of a passage equal, and what is left is dealt out
+by a third; should that not do, every window is a shard. A window goes the same way in all documents, so nothing is lost.
+
+Each task builds FM-indexes over the segments of some shards: the Burrows-Wheeler transform in a wavelet matrix, common prefixes in a byte
+each, and for each class of suffixes that agree in `window` words the smallest document, as a number of 32 bits. Segments stream back
+to front through the index, which gives their matching statistics: the longest match from every word on, at most `window` words, and where
+it is full the smallest document in which these words start. A smaller one than the segment's own marks the window.
 
 Exact copies take no part: of equal word sequences only the smallest document is searched, and the
 others are covered whole if they have a window at all.
@@ -27,10 +31,12 @@ from pyspark.sql import functions as F
 from .shared import stage, text_slices
 from .words import UNSPACED, inside_texts, mix, windows, words
 
-#: Words of segments in one index; an anchor is never split.
+#: Words of segments in one index; a shard is never split.
 INDEX_WORDS = 400_000
-#: Occurrences of an anchor beyond which its windows are dealt out one by one.
-HOT_SEGMENTS = 20_000
+#: Distinct segments beyond which a shard is a crowd.
+SHARD_SEGMENTS = 256
+#: How a crowd is cut, in this order.
+CUTS = ("anchor", "shared", "window")
 
 
 class WaveletMatrix:
@@ -62,9 +68,53 @@ class WaveletMatrix:
         return both[len(at) :] - both[: len(at)]
 
 
+class Marks:
+    """A bit for each place, and the marked places around any."""
+
+    def __init__(self, marked: np.ndarray):
+        self.n = len(marked)
+        padded = np.zeros((self.n // 64 + 1) * 64, np.uint8)
+        padded[: self.n] = marked
+        self.plane = np.packbits(padded, bitorder="little").view("<u8")
+        counts = np.bitwise_count(self.plane).astype(np.int64)
+        self.counts = np.concatenate([[0], np.cumsum(counts)[:-1]]).astype(np.int32)
+        word = np.arange(len(self.plane)) * 64
+        self.last = np.maximum.accumulate(np.where(counts > 0, word + _highest(self.plane), -1)).astype(np.int32)
+        ahead = np.where(counts > 0, word + _highest(self.plane & (~self.plane + np.uint64(1))), self.n)
+        self.first = np.minimum.accumulate(ahead[::-1])[::-1].astype(np.int32)
+
+    def upto(self, at: np.ndarray) -> np.ndarray:
+        """How many places up to each are marked, itself included."""
+        word, below = at >> 6, _upto(at)
+        return self.counts[word] + np.bitwise_count(self.plane[word] & below)
+
+    def begin(self, at: np.ndarray) -> np.ndarray:
+        """The last marked place up to each; place 0 is marked."""
+        word = at >> 6
+        own = self.plane[word] & _upto(at)
+        return np.where(own > 0, (word << 6) + _highest(own), self.last[np.maximum(word - 1, 0)])
+
+    def end(self, at: np.ndarray) -> np.ndarray:
+        """The first marked place after each, else n."""
+        word = at >> 6
+        own = self.plane[word] & ~_upto(at)
+        later = np.append(self.first, self.n)[word + 1]
+        return np.where(own > 0, (word << 6) + _highest(own & (~own + np.uint64(1))), later)
+
+
+def _upto(at: np.ndarray) -> np.ndarray:
+    """Bits 0 to at % 64."""
+    return np.uint64(0xFFFFFFFFFFFFFFFF) >> (63 - (at & 63)).astype(np.uint64)
+
+
+def _highest(x: np.ndarray) -> np.ndarray:
+    """The highest bit's place; -1 of 0. A number without its second bit can't round up to the next power."""
+    return np.frexp((x & ~(x >> np.uint64(1))).astype(np.float64))[1].astype(np.int64) - 1
+
+
 class FMIndex:
     """Over segments of symbols (1 to top), each followed by 0; suffixes are in order of their first 2^m >= window symbols,
-    which serves all patterns up to `window`. Every pattern that is searched must be part of a segment."""
+    which serves all patterns up to `window`."""
 
     def __init__(self, text: np.ndarray, documents: np.ndarray, window: int):
         self.window, n = window, len(text)
@@ -73,56 +123,104 @@ class FMIndex:
             r = ranks[-1]
             later = np.zeros(n, np.int64)
             later[: n - size] = r[size:] + 1
-            key = r * (int(r.max()) + 2) + later
+            key = r * (int(r.max(initial=0)) + 2) + later
             order = np.argsort(key, kind="stable")
-            fresh = np.concatenate([[0], np.cumsum(np.diff(key[order]) != 0)])
+            fresh = np.concatenate([[0], np.cumsum(np.diff(key[order]) != 0)]) if n else key
             r = np.empty(n, np.int64)
             r[order] = fresh
             ranks.append(r)
             size *= 2
         order = np.argsort(ranks[-1], kind="stable")
-        top = int(text.max()) if n else 1
-        self.bwt = WaveletMatrix(text[order - 1], top)
-        self.before = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=top + 1))])
-        shorter, same = self._classes(ranks, order, window - 1), self._classes(ranks, order, window)
-        self.first_of, self.end_of = shorter[0], shorter[1]
-        firsts = np.flatnonzero(same[0] == np.arange(n))
-        self.least = np.repeat(np.minimum.reduceat(documents[order], firsts), np.diff(np.append(firsts, n))) if n else documents
-
-    @staticmethod
-    def _classes(ranks: list[np.ndarray], order: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-        """Begin and end of the class of each suffix, by their first `depth` symbols."""
-        n, new, at = len(order), np.zeros(len(order), bool), 0
-        new[:1] = True
+        self.top = int(text.max(initial=0))
+        self.bwt = WaveletMatrix(text[order - 1], self.top)
+        self.before = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=self.top + 1))])
+        self.common = self._common_prefixes(ranks, order)
+        self.held: dict[int, Marks] = {}
+        same = np.flatnonzero(self.common < window)
+        names, documents = np.unique(documents, return_inverse=True)
+        self.documents = names
+        self.least = np.minimum.reduceat(documents[order], same).astype(np.int32) if n else documents.astype(np.int32)
+
+    def _common_prefixes(self, ranks: list[np.ndarray], order: np.ndarray) -> np.ndarray:
+        """How many symbols each suffix shares with the one before it, `window` at most; the text's end equals nothing."""
+        n, common = len(order), np.zeros(len(order), np.int64)
         for k in range(len(ranks) - 1, -1, -1):
-            if depth >> k & 1:
-                r = np.append(ranks[k], np.full(at + 1, -1))[np.minimum(order + at, n)]
-                new[1:] |= r[1:] != r[:-1]
-                at += 1 << k
-        first = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-        starts = np.flatnonzero(new)
-        return first, np.repeat(np.append(starts[1:], n), np.diff(np.append(starts, n)))
-
-    def least_documents(self, segments: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """For each place of the segments, the smallest document in which the window that starts there starts; -1 where
-        its segment ends sooner. All segments are searched side by side, from their ends."""
+            r = np.append(ranks[k], np.arange(-1, -n - 2, -1))  # beyond the end nothing is equal
+            one, two = order[1:] + common[1:], order[:-1] + common[1:]
+            common[1:] += np.where(r[np.minimum(one, 2 * n)] == r[np.minimum(two, 2 * n)], 1 << k, 0)
+        return np.minimum(common, self.window).astype(np.uint8 if self.window < 256 else np.uint32)
+
+    def marks(self, depth: int) -> Marks:
+        """Where the classes of suffixes begin that agree in `depth` symbols."""
+        if depth not in self.held:
+            marked = self.common < depth
+            marked[:1] = True
+            self.held[depth] = Marks(marked)
+        return self.held[depth]
+
+    def _further(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The suffixes of a range that a symbol precedes, with it: one backward step."""
+        ranks = self.bwt.rank(np.concatenate([symbol, symbol]), np.concatenate([low, high]))
+        return self.before[symbol] + ranks[: len(low)], self.before[symbol] + ranks[len(low) :]
+
+    def _range(self, depth: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if depth == 0:
+            return np.zeros(len(at), np.int64), np.full(len(at), self.bwt.n, np.int64)
+        return self.marks(depth).begin(at), self.marks(depth).end(at)
+
+    def _shortened(self, symbol: np.ndarray, low: np.ndarray, matched: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For matches that a symbol can't precede: the longest start of each that it can, with it; an empty match where there is none."""
+        least, most = np.full(len(low), -1), matched - 1  # the depth lies in between, -1 is none
+        while len(todo := np.flatnonzero(least < most)):
+            middle = (least[todo] + most[todo] + 1) // 2
+            for depth in np.unique(middle).tolist():
+                lanes = todo[middle == depth]
+                a, b = self._further(symbol[lanes], *self._range(depth, low[lanes]))
+                least[lanes[b > a]] = depth
+                most[lanes[b <= a]] = depth - 1
+        new_low, new_high = np.zeros(len(low), np.int64), np.full(len(low), self.bwt.n, np.int64)
+        for depth in np.unique(least).tolist():
+            if depth >= 0:
+                lanes = np.flatnonzero(least == depth)
+                new_low[lanes], new_high[lanes] = self._further(symbol[lanes], *self._range(depth, low[lanes]))
+        return new_low, new_high, least + 1
+
+    def matching(self, segments: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Matching statistics of segments of symbols, of which any may be foreign: for each place how many symbols from it on, within its
+        segment and up to `window`, the index has in a row; and where that is `window`, the smallest document that has them, else -1. All segments stream side by side, from their ends."""
         sizes = np.diff(offsets)
         lanes = np.argsort(-sizes, kind="stable")
         sizes, ends = sizes[lanes], offsets[1:][lanes]
-        out = np.full(int(offsets[-1]), -1, np.int64)
-        low, high = np.zeros(len(lanes), np.int64), np.full(len(lanes), self.bwt.n, np.int64)
+        length, least = np.zeros(int(offsets[-1]), np.int64), np.full(int(offsets[-1]), -1, np.int64)
+        low, high, matched = np.zeros(len(lanes), np.int64), np.full(len(lanes), self.bwt.n, np.int64), np.zeros(len(lanes), np.int64)
         for k in range(int(sizes.max(initial=0))):
             live = int(np.searchsorted(-sizes, -k, side="left"))
             place = ends[:live] - 1 - k
             symbol = segments[place]
-            if k >= self.window:  # one word fewer on the right, then one more on the left
-                at = low[:live]
-                low[:live], high[:live] = self.first_of[at], self.end_of[at]
-            ranks = self.bwt.rank(np.concatenate([symbol, symbol]), np.concatenate([low[:live], high[:live]]))
-            low[:live], high[:live] = self.before[symbol] + ranks[:live], self.before[symbol] + ranks[live:]
-            if k >= self.window - 1:
-                out[place] = self.least[low[:live]]
-        return out
+            full = np.flatnonzero(matched[:live] == self.window)
+            if len(full):  # one word fewer on the right, then one more on the left
+                low[full], high[full] = self._range(self.window - 1, low[full])
+                matched[full] -= 1
+            known = (symbol > 0) & (symbol <= self.top)
+            use = np.where(known, symbol, 0)
+            a, b = self._further(use, low[:live], high[:live])
+            bad = np.flatnonzero(~known | (b <= a))
+            matched[:live] += 1
+            if len(bad):
+                if len(some := bad[known[bad]]):
+                    a[some], b[some], matched[some] = self._shortened(symbol[some], low[some], matched[some] - 1)
+                none = bad[~known[bad]]
+                a[none], b[none], matched[none] = 0, self.bwt.n, 0
+            low[:live], high[:live] = a, b
+            length[place] = matched[:live]
+            full = np.flatnonzero(matched[:live] == self.window)
+            if len(full):
+                least[place[full]] = self.documents[self.least[self.marks(self.window).upto(low[full]) - 1]]
+        return length, least
+
+    def least_documents(self, segments: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """For each place of the segments, the smallest document in which the window that starts there starts; -1 where there is none."""
+        return self.matching(segments, offsets)[1]
 
 
 class Anchors(NamedTuple):
@@ -210,18 +308,14 @@ def covered_spans(docs: DataFrame, window: int = 50, gram: int = 10, id_col: str
                 of = slice(bounds[k], bounds[k + 1])
                 use = np.isin(signed[of], wanted_.values.to_numpy())
                 for anchor, a, b in zip(signed[of][use].tolist(), found.firsts[of][use].tolist(), found.lasts[of][use].tolist(), strict=True):
-                    segment = w.hashes[a : b + window].tobytes()
-                    rows.append((anchor, hashlib.blake2b(segment, digest_size=16).digest(), key, digest, a - int(w.offsets[k]), segment))
+                    rows.append((anchor, key, digest, a - int(w.offsets[k]), w.hashes[a : b + window]))
             if rows:
-                types = [pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["anchor", "segment_digest", "doc_id", "words_digest", "start", "segment"])
+                yield _segment_rows(rows)
 
     involved = stage(texts.join(wanted.hint("shuffle_hash"), "doc_id"), "involved-texts")
-    segments = stage(involved.mapInArrow(cut, "anchor long, segment_digest binary, doc_id long, words_digest binary, start long, segment binary"), "segments")
-    hot = stage(segments.groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > HOT_SEGMENTS).select("anchor"), "hot-anchors")
-    some_hot = not hot.isEmpty()
-    cold = segments.join(hot, "anchor", "left_anti") if some_hot else segments
-    distinct = cold.groupBy("anchor", "segment_digest").agg(F.min("doc_id").alias("doc_id"), F.first("segment").alias("segment"))
+    segments = stage(involved.mapInArrow(cut, SEGMENT), "segments")
+    segments = _shards(segments, window, gram)
+    distinct = segments.groupBy("anchor", "segment_digest").agg(F.min("doc_id").alias("doc_id"), F.first("segment").alias("segment"))
 
     def search(batches):
         held: list[tuple[int, bytes, int, np.ndarray]] = []
@@ -250,8 +344,6 @@ def covered_spans(docs: DataFrame, window: int = 50, gram: int = 10, id_col: str
 
     sharded = distinct.select("anchor", "segment_digest", "doc_id", "segment").repartition("anchor").sortWithinPartitions("anchor")
     least = sharded.mapInArrow(search, "anchor long, segment_digest binary, least array<long>")
-    if some_hot:
-        least = least.unionByName(_least_by_window(segments.join(hot, "anchor", "left_semi"), window))
     marked = segments.drop("segment").join(least, ["anchor", "segment_digest"]).withColumn("starts", F.expr(f"transform(filter(sequence(0, size(least) - 1), i -> size(least) > 0 and least[i] < doc_id), i -> start + i)"))
     spans = marked.filter("size(starts) > 0").groupBy("doc_id", "words_digest").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("starts")))).alias("starts"))  # of one document's own windows
 
@@ -290,22 +382,82 @@ def covered_spans(docs: DataFrame, window: int = 50, gram: int = 10, id_col: str
     )
 
 
-def _least_by_window(segments: DataFrame, window: int) -> DataFrame:
-    """(anchor, segment_digest, least) of segments: for each of a segment's windows the smallest document with its words."""
-    distinct = segments.groupBy("anchor", "segment_digest").agg(F.min("doc_id").alias("doc_id"), F.first("segment").alias("segment"))
+SEGMENT = "anchor long, segment_digest binary, doc_id long, words_digest binary, start long, segment binary"
+
+
+def _segment_rows(rows: list[tuple[int, int, bytes, int, np.ndarray]]) -> pa.RecordBatch:
+    """Of (anchor, document, digest of its words, place of the first word, words' hashes)."""
+    out = []
+    for anchor, key, digest, start, hashes in rows:
+        segment = hashes.tobytes()
+        out.append((anchor, hashlib.blake2b(segment, digest_size=16).digest(), key, digest, start, segment))
+    types = [pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], [x.split()[0] for x in SEGMENT.split(", ")])
+
+
+def _shards(segments: DataFrame, window: int, gram: int) -> DataFrame:
+    """The segments with crowds cut into smaller shards; `anchor` then names the shard. Windows that no second document has may be gone."""
+    done, rest = [], segments
+    for k, how in enumerate(CUTS):
+        distinct = rest.groupBy("anchor", "segment_digest").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.first("segment").alias("segment"))
+        distinct = stage(distinct, "distinct-segments")
+        crowds = stage(distinct.groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > SHARD_SEGMENTS).select("anchor"), "crowds")
+        if crowds.isEmpty():
+            break
+        done.append(rest.join(crowds, "anchor", "left_anti"))
+        crowded = rest.join(crowds, "anchor", "left_semi")
+        if how == "shared":
+            crowded = crowded.join(_shared_windows(distinct.join(crowds, "anchor", "left_semi"), window), ["anchor", "segment_digest"])
+        cut = stage(crowded.mapInArrow(_cutter(how, k, window, gram), SEGMENT), "cut-segments")
+        shared = cut.groupBy("anchor").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("anchor")
+        rest = stage(cut.join(stage(shared, "shards-of-two"), "anchor"), "segments-of-crowds")
+    whole = rest
+    for part in done:
+        whole = whole.unionByName(part)
+    return whole
+
+
+def _shared_windows(distinct: DataFrame, window: int) -> DataFrame:
+    """(anchor, segment_digest, places): which windows of a segment two documents have, going by two hashes of all their words."""
 
     def each(batches):
         for batch in batches:
-            for anchor, digest, doc, blob in zip(*(batch.column(c).to_pylist() for c in ("anchor", "segment_digest", "doc_id", "segment")), strict=True):
+            for anchor, digest, least, most, blob in zip(*(batch.column(c).to_pylist() for c in ("anchor", "segment_digest", "least", "most", "segment")), strict=True):
                 hashes = np.frombuffer(blob, np.uint64)
                 one, two = windows(hashes, window).astype(np.int64), windows(mix(hashes ^ np.uint64(0x5851F42D4C957F2D)), window).astype(np.int64)
                 n = len(one)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, anchor), pa.int64()), pa.array([digest] * n, pa.binary()), pa.array(np.full(n, doc), pa.int64()), pa.array(np.arange(n), pa.int64()), pa.array(one), pa.array(two)],
-                    ["anchor", "segment_digest", "doc_id", "place", "one", "two"],
-                )
-
-    dealt = stage(distinct.mapInArrow(each, "anchor long, segment_digest binary, doc_id long, place long, one long, two long"), "hot-windows")
-    least = stage(dealt.groupBy("one", "two").agg(F.min("doc_id").alias("least")), "hot-least")
-    found = dealt.drop("doc_id").join(least, ["one", "two"]).groupBy("anchor", "segment_digest").agg(F.array_sort(F.collect_list(F.struct("place", "least"))).alias("x"))
-    return found.select("anchor", "segment_digest", F.transform("x", lambda p: p["least"]).alias("least"))
+                columns = [pa.array(one), pa.array(two), pa.array(np.full(n, least), pa.int64()), pa.array(np.full(n, most), pa.int64()), pa.array(np.full(n, anchor), pa.int64()), pa.array([digest] * n, pa.binary()), pa.array(np.arange(n, dtype=np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, ["one", "two", "least", "most", "anchor", "segment_digest", "place"])
+
+    dealt = stage(distinct.mapInArrow(each, "one long, two long, least long, most long, anchor long, segment_digest binary, place int"), "crowd-windows")
+    shared = dealt.groupBy("one", "two").agg(F.min("least").alias("least"), F.max("most").alias("most")).filter("least < most").select("one", "two")
+    return dealt.join(stage(shared, "windows-of-two"), ["one", "two"], "left_semi").groupBy("anchor", "segment_digest").agg(F.collect_list("place").alias("places"))  # a segment's windows
+
+
+def _cutter(how: str, k: int, window: int, gram: int):
+    """The function that cuts segments of crowds: by another anchor, after windows of one document are gone, or into windows."""
+
+    def cut(batches):
+        salt = mix(np.array([k + 1], np.uint64))
+        for batch in batches:
+            rows = []
+            places = batch.column("places").to_pylist() if how == "shared" else [None] * batch.num_rows
+            for anchor, key, digest, start, blob, some in zip(*(batch.column(c).to_pylist() for c in ("anchor", "doc_id", "words_digest", "start", "segment")), places, strict=True):
+                hashes = np.frombuffer(blob, np.uint64)
+                base = np.array([anchor], np.int64).view(np.uint64)
+                if how == "window":
+                    names = mix(windows(hashes, window) + base).view(np.int64).tolist()
+                    rows += [(name, key, digest, start + i, hashes[i : i + window]) for i, name in enumerate(names)]
+                    continue
+                some = np.arange(len(hashes) - window + 1) if some is None else np.sort(np.array(some, np.int64))
+                edges = np.flatnonzero(np.diff(some) != 1) + 1
+                for a, b in zip(np.append(0, edges).tolist(), np.append(edges, len(some)).tolist(), strict=True):
+                    first, last = int(some[a]), int(some[b - 1])
+                    part = hashes[first : last + window]
+                    found = anchors(mix(part ^ salt), np.array([0, len(part)]), window, gram)
+                    names = mix(found.hashes + base).view(np.int64).tolist()
+                    rows += [(name, key, digest, start + first + x, part[x : y + window]) for name, x, y in zip(names, found.firsts.tolist(), found.lasts.tolist(), strict=True)]
+            if rows:
+                yield _segment_rows(rows)
+
+    return cut

@@ -3,9 +3,9 @@
 import numpy as np
 import public_tokenizers
 import pytest
-from test_text_operators import ITEMS, TEXTS, brute_hits
+from test_text_operators import ITEMS, TEXTS, brute_hits, brute_removed, removed
 
-from lattica.llm import binary_output, decontamination
+from lattica.llm import binary_output, decontamination, substring_dedup
 
 BYTE = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -59,3 +59,44 @@ def test_files_of_more_ids_than_bits(odd, spark):
     out = binary_output.read_tokens(spark, binary_output.write_tokens(odd, BYTE, max_bits=3)).collect()
     want = {r.doc_id: bytes(r.ids) for r in binary_output.read_tokens(spark, binary_output.write_tokens(odd, BYTE)).collect() if r.doc_id != 7}
     assert {r.doc_id: bytes(r.ids) for r in out if r.doc_id != 7} == want
+
+
+@pytest.mark.parametrize("limit,cuts", [(3, substring_dedup.CUTS), (1, substring_dedup.CUTS), (2, ("window",)), (2, ("shared",)), (2, ("anchor",))])
+def test_crowded_anchors(spark, monkeypatch, limit, cuts):
+    """A passage in many contexts, near copies and runs of one word, by each way of cutting crowds."""
+    monkeypatch.setattr(substring_dedup, "SHARD_SEGMENTS", limit)
+    monkeypatch.setattr(substring_dedup, "CUTS", cuts)
+    rng = np.random.default_rng(6)
+    make = lambda n, top: [f"p{x}" for x in rng.integers(0, top, n)]
+    passage, base = make(17, 500), make(60, 500)
+    rows = [(k, " ".join([*make(int(rng.integers(0, 20)), 500), *passage, *make(int(rng.integers(0, 20)), 500)])) for k in range(25)]
+    for k in range(25):
+        copy = list(base)
+        copy[int(rng.integers(0, 60))] = f"x{k % 4}"
+        rows.append((40 + k, " ".join(copy)))
+    rows += [(80 + k, " ".join(["same"] * (12 + k))) for k in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert removed(substring_dedup.covered_spans(docs, window=12, gram=4)) == brute_removed(rows, 12)
+
+
+def test_matching_statistics_of_foreign_texts():
+    rng = np.random.default_rng(9)
+    for top, window in ((3, 6), (2, 9), (6, 4)):
+        held = [rng.integers(1, top + 1, int(rng.integers(0, 40))) for _ in range(12)]
+        docs = rng.integers(0, 9, 12)
+        flat = np.concatenate(held).astype(np.int64)
+        offsets = np.concatenate([[0], np.cumsum([len(x) for x in held])])
+        index = substring_dedup.FMIndex(np.insert(flat, offsets[1:], 0), np.repeat(docs, np.diff(offsets) + 1), window)
+        runs = {}
+        for x, d in zip(held, docs):
+            for a in range(len(x)):
+                for b in range(a + 1, min(len(x), a + window) + 1):
+                    run = tuple(x[a:b].tolist())
+                    runs[run] = min(runs.get(run, 99), d)
+        asked = [rng.integers(0, top + 3, int(rng.integers(0, 60))) for _ in range(20)] + [rng.integers(1, top + 1, 80)]
+        at = np.concatenate([[0], np.cumsum([len(x) for x in asked])])
+        length, least = index.matching(np.concatenate(asked).astype(np.int64), at)
+        for x, a in zip(asked, at):
+            for i in range(len(x)):
+                n = max([m for m in range(1, window + 1) if i + m <= len(x) and tuple(x[i : i + m].tolist()) in runs], default=0)
+                assert length[a + i] == n and least[a + i] == (runs[tuple(x[i : i + n].tolist())] if n == window else -1)
