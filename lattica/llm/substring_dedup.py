@@ -4,10 +4,10 @@ Two documents that share a window of `window` words share its anchor: the run of
 shards are made by anchor. Only anchors that occur in two documents matter; the words of the windows that have one there, at
 most 2 * window - gram, become a segment, and equal segments of an anchor are one row with their smallest document.
 
-An anchor of a passage that very many documents have is a crowd, as its segments differ in the words around the passage. A crowd
-is cut by content until it is none: first its windows are dealt out by a second anchor, of which again only those of two documents
-matter; then windows of one document alone are cut off, which makes segments of a passage equal, and what is left is dealt out
-by a third; should that not do, every window is a shard. A window goes the same way in all documents, so nothing is lost.
+An anchor of a passage that very many documents have is a crowd, as its segments differ in the words around the passage. A crowd's
+distinct segments are cut by content until it is none: first their windows are dealt out by a second anchor, of which again only those of two documents
+matter; then windows of one document alone are cut off, which makes pieces of a passage equal, and what is left is dealt out
+by further anchors; should that not do, every window is a shard. A window goes the same way in all segments, so nothing is lost.
 
 Each task builds FM-indexes over the segments of some shards: the Burrows-Wheeler transform in a wavelet matrix, common prefixes in a byte
 each, and for each class of suffixes that agree in `window` words the smallest document, as a number of 32 bits. Segments stream back
@@ -36,7 +36,7 @@ INDEX_WORDS = 400_000
 #: Distinct segments beyond which a shard is a crowd.
 SHARD_SEGMENTS = 256
 #: How a crowd is cut, in this order.
-CUTS = ("anchor", "shared", "window")
+CUTS = ("anchor", "shared", "anchor", "anchor", "anchor", "window")
 
 
 class WaveletMatrix:
@@ -314,36 +314,13 @@ def covered_spans(docs: DataFrame, window: int = 50, gram: int = 10, id_col: str
 
     involved = stage(texts.join(wanted.hint("shuffle_hash"), "doc_id"), "involved-texts")
     segments = stage(involved.mapInArrow(cut, SEGMENT), "segments")
-    segments = _shards(segments, window, gram)
-    distinct = segments.groupBy("anchor", "segment_digest").agg(F.min("doc_id").alias("doc_id"), F.first("segment").alias("segment"))
+    crowds = _crowds(segments)
+    cold = segments.join(crowds, "anchor", "left_anti") if crowds else segments
+    distinct = cold.groupBy("anchor", "segment_digest").agg(F.min("doc_id").alias("doc_id"), F.first("segment").alias("segment"))
 
-    def search(batches):
-        held: list[tuple[int, bytes, int, np.ndarray]] = []
-        size = 0
-
-        def flush():
-            symbols = np.concatenate([h[3] for h in held])
-            lengths = np.array([len(h[3]) for h in held], np.int64)
-            offsets = np.concatenate([[0], np.cumsum(lengths)])
-            ranked = np.unique(symbols, return_inverse=True)[1].astype(np.int64) + 1
-            text = np.insert(ranked, offsets[1:], 0)
-            index = FMIndex(text, np.repeat(np.array([h[2] for h in held], np.int64), lengths + 1), window)
-            least = index.least_documents(ranked, offsets)
-            parts = [least[a : max(a, b - window + 1)] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array([h[0] for h in held], pa.int64()), pa.array([h[1] for h in held], pa.binary()), pa.array(parts, pa.list_(pa.int64()))], ["anchor", "segment_digest", "least"])
-
-        for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("anchor", "segment_digest", "doc_id", "segment")), strict=True):
-                if size >= INDEX_WORDS and row[0] != held[-1][0]:
-                    yield flush()
-                    held, size = [], 0
-                held.append((row[0], row[1], row[2], np.frombuffer(row[3], np.uint64)))
-                size += len(held[-1][3])
-        if held:
-            yield flush()
-
-    sharded = distinct.select("anchor", "segment_digest", "doc_id", "segment").repartition("anchor").sortWithinPartitions("anchor")
-    least = sharded.mapInArrow(search, "anchor long, segment_digest binary, least array<long>")
+    least = _least(distinct, window)
+    if crowds:
+        least = least.unionByName(_least_of_crowds(segments.join(crowds, "anchor", "left_semi"), window, gram))
     marked = segments.drop("segment").join(least, ["anchor", "segment_digest"]).withColumn("starts", F.expr(f"transform(filter(sequence(0, size(least) - 1), i -> size(least) > 0 and least[i] < doc_id), i -> start + i)"))
     spans = marked.filter("size(starts) > 0").groupBy("doc_id", "words_digest").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("starts")))).alias("starts"))  # of one document's own windows
 
@@ -395,69 +372,138 @@ def _segment_rows(rows: list[tuple[int, int, bytes, int, np.ndarray]]) -> pa.Rec
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], [x.split()[0] for x in SEGMENT.split(", ")])
 
 
-def _shards(segments: DataFrame, window: int, gram: int) -> DataFrame:
-    """The segments with crowds cut into smaller shards; `anchor` then names the shard. Windows that no second document has may be gone."""
-    done, rest = [], segments
+def _least(distinct: DataFrame, window: int) -> DataFrame:
+    """(anchor, segment_digest, least) of distinct segments (anchor, segment_digest, doc_id, segment): for each window the smallest document of its shard that has it."""
+
+    def search(batches):
+        held: list[tuple[int, bytes, int, np.ndarray]] = []
+        size = 0
+
+        def flush():
+            symbols = np.concatenate([h[3] for h in held])
+            lengths = np.array([len(h[3]) for h in held], np.int64)
+            offsets = np.concatenate([[0], np.cumsum(lengths)])
+            ranked = np.unique(symbols, return_inverse=True)[1].astype(np.int64) + 1
+            text = np.insert(ranked, offsets[1:], 0)
+            index = FMIndex(text, np.repeat(np.array([h[2] for h in held], np.int64), lengths + 1), window)
+            least = index.least_documents(ranked, offsets)
+            parts = [least[a : max(a, b - window + 1)] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array([h[0] for h in held], pa.int64()), pa.array([h[1] for h in held], pa.binary()), pa.array(parts, pa.list_(pa.int64()))], ["anchor", "segment_digest", "least"])
+
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("anchor", "segment_digest", "doc_id", "segment")), strict=True):
+                if size >= INDEX_WORDS and row[0] != held[-1][0]:
+                    yield flush()
+                    held, size = [], 0
+                held.append((row[0], row[1], row[2], np.frombuffer(row[3], np.uint64)))
+                size += len(held[-1][3])
+        if held:
+            yield flush()
+
+    sharded = distinct.select("anchor", "segment_digest", "doc_id", "segment").repartition("anchor").sortWithinPartitions("anchor")
+    return sharded.mapInArrow(search, "anchor long, segment_digest binary, least array<long>")
+
+
+def _crowds(segments: DataFrame) -> DataFrame | None:
+    """Anchors of more than SHARD_SEGMENTS distinct segments; None where there are none."""
+    often = stage(segments.groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > SHARD_SEGMENTS).select("anchor"), "frequent-anchors")
+    if often.isEmpty():
+        return None
+    distinct = segments.select("anchor", "segment_digest").join(often, "anchor", "left_semi").distinct()
+    crowds = stage(distinct.groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > SHARD_SEGMENTS).select("anchor"), "crowds")
+    return None if crowds.isEmpty() else crowds
+
+
+def _least_of_crowds(segments: DataFrame, window: int, gram: int) -> DataFrame:
+    """(anchor, segment_digest, least) of the segments of crowds, which go through shards of their pieces.
+
+    A piece bears its segment's document, anchor (as whole_anchor) and digest (as words_digest), and its place there (start).
+    """
+    whole = segments.groupBy("anchor", "segment_digest").agg(F.min("doc_id").alias("doc_id"), F.first("segment").alias("segment"))
+    whole = stage(whole, "segments-of-crowds")
+    rest = whole.select("anchor", F.col("anchor").alias("whole_anchor"), "segment_digest", "doc_id", F.col("segment_digest").alias("words_digest"), F.lit(0).cast("long").alias("start"), "segment")
+    done = []
     for k, how in enumerate(CUTS):
-        distinct = rest.groupBy("anchor", "segment_digest").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.first("segment").alias("segment"))
-        distinct = stage(distinct, "distinct-segments")
-        crowds = stage(distinct.groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > SHARD_SEGMENTS).select("anchor"), "crowds")
-        if crowds.isEmpty():
-            break
-        done.append(rest.join(crowds, "anchor", "left_anti"))
-        crowded = rest.join(crowds, "anchor", "left_semi")
         if how == "shared":
-            crowded = crowded.join(_shared_windows(distinct.join(crowds, "anchor", "left_semi"), window), ["anchor", "segment_digest"])
-        cut = stage(crowded.mapInArrow(_cutter(how, k, window, gram), SEGMENT), "cut-segments")
+            rest = rest.join(_shared_windows(rest, window), ["anchor", "segment_digest", "whole_anchor", "words_digest"])
+        cut = stage(rest.mapInArrow(_cutter(how, k, window, gram), f"{SEGMENT}, whole_anchor long"), "pieces")
         shared = cut.groupBy("anchor").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("anchor")
-        rest = stage(cut.join(stage(shared, "shards-of-two"), "anchor"), "segments-of-crowds")
-    whole = rest
-    for part in done:
-        whole = whole.unionByName(part)
-    return whole
+        pieces = stage(cut.join(stage(shared, "shards-of-two"), "anchor"), "pieces-of-two")
+        crowds = _crowds(pieces)
+        if not crowds:
+            done.append(pieces)
+            break
+        done.append(pieces.join(crowds, "anchor", "left_anti"))
+        rest = pieces.join(crowds, "anchor", "left_semi")
+    else:
+        done.append(rest)  # single windows: equal ones are one row
+    pieces = done[0]
+    for part in done[1:]:
+        pieces = pieces.unionByName(part)
+    distinct = pieces.groupBy("anchor", "segment_digest").agg(F.min("doc_id").alias("doc_id"), F.first("segment").alias("segment"))
+    found = pieces.drop("segment", "doc_id").join(_least(distinct, window), ["anchor", "segment_digest"])
+    found = found.groupBy(F.col("whole_anchor").alias("anchor"), F.col("words_digest").alias("segment_digest")).agg(F.collect_list(F.struct("start", "least")).alias("parts"))  # a segment's pieces
+
+    def joined(batches):
+        for batch in batches:
+            least = []
+            for doc, size, parts in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "size", "parts")), strict=True):
+                own = np.full(size // 8 - window + 1, doc, np.int64)  # windows that no piece has are this document's alone
+                for p in parts or ():
+                    of = slice(p["start"], p["start"] + len(p["least"]))
+                    own[of] = np.minimum(own[of], p["least"])
+                least.append(own)
+            yield pa.RecordBatch.from_arrays([batch.column("anchor"), batch.column("segment_digest"), pa.array(least, pa.list_(pa.int64()))], ["anchor", "segment_digest", "least"])
 
+    sized = whole.select("anchor", "segment_digest", "doc_id", F.octet_length("segment").alias("size"))
+    return sized.join(found, ["anchor", "segment_digest"], "left").select("doc_id", "size", "parts", "anchor", "segment_digest").mapInArrow(joined, "anchor long, segment_digest binary, least array<long>")
 
-def _shared_windows(distinct: DataFrame, window: int) -> DataFrame:
-    """(anchor, segment_digest, places): which windows of a segment two documents have, going by two hashes of all their words."""
+
+def _shared_windows(pieces: DataFrame, window: int) -> DataFrame:
+    """pieces' keys with `places`: which windows of a piece two documents have, going by two hashes of all their words."""
+    key = ["anchor", "segment_digest", "whole_anchor", "words_digest"]
 
     def each(batches):
         for batch in batches:
-            for anchor, digest, least, most, blob in zip(*(batch.column(c).to_pylist() for c in ("anchor", "segment_digest", "least", "most", "segment")), strict=True):
+            for i, (doc, blob) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("segment").to_pylist(), strict=True)):
                 hashes = np.frombuffer(blob, np.uint64)
                 one, two = windows(hashes, window).astype(np.int64), windows(mix(hashes ^ np.uint64(0x5851F42D4C957F2D)), window).astype(np.int64)
-                n = len(one)
-                columns = [pa.array(one), pa.array(two), pa.array(np.full(n, least), pa.int64()), pa.array(np.full(n, most), pa.int64()), pa.array(np.full(n, anchor), pa.int64()), pa.array([digest] * n, pa.binary()), pa.array(np.arange(n, dtype=np.int32))]
-                yield pa.RecordBatch.from_arrays(columns, ["one", "two", "least", "most", "anchor", "segment_digest", "place"])
+                own = pa.array(np.full(len(one), i))
+                columns = [pa.array(one), pa.array(two), pa.array(np.full(len(one), doc), pa.int64()), *(batch.column(c).take(own) for c in key), pa.array(np.arange(len(one), dtype=np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, ["one", "two", "doc_id", *key, "place"])
 
-    dealt = stage(distinct.mapInArrow(each, "one long, two long, least long, most long, anchor long, segment_digest binary, place int"), "crowd-windows")
-    shared = dealt.groupBy("one", "two").agg(F.min("least").alias("least"), F.max("most").alias("most")).filter("least < most").select("one", "two")
-    return dealt.join(stage(shared, "windows-of-two"), ["one", "two"], "left_semi").groupBy("anchor", "segment_digest").agg(F.collect_list("place").alias("places"))  # a segment's windows
+    dealt = stage(pieces.select(*key, "doc_id", "segment").mapInArrow(each, "one long, two long, doc_id long, anchor long, segment_digest binary, whole_anchor long, words_digest binary, place int"), "crowd-windows")
+    shared = dealt.groupBy("one", "two").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("one", "two")
+    return dealt.join(stage(shared, "windows-of-two"), ["one", "two"], "left_semi").groupBy(*key).agg(F.collect_list("place").alias("places"))  # a piece's windows
 
 
 def _cutter(how: str, k: int, window: int, gram: int):
-    """The function that cuts segments of crowds: by another anchor, after windows of one document are gone, or into windows."""
+    """The function that cuts pieces of crowds: by another anchor, after windows of one document are gone, or into windows."""
 
     def cut(batches):
         salt = mix(np.array([k + 1], np.uint64))
         for batch in batches:
-            rows = []
+            rows, whole = [], []
             places = batch.column("places").to_pylist() if how == "shared" else [None] * batch.num_rows
-            for anchor, key, digest, start, blob, some in zip(*(batch.column(c).to_pylist() for c in ("anchor", "doc_id", "words_digest", "start", "segment")), places, strict=True):
+            columns = (batch.column(c).to_pylist() for c in ("anchor", "whole_anchor", "doc_id", "words_digest", "start", "segment"))
+            for anchor, first_anchor, key, digest, start, blob, some in zip(*columns, places, strict=True):
                 hashes = np.frombuffer(blob, np.uint64)
                 base = np.array([anchor], np.int64).view(np.uint64)
                 if how == "window":
                     names = mix(windows(hashes, window) + base).view(np.int64).tolist()
                     rows += [(name, key, digest, start + i, hashes[i : i + window]) for i, name in enumerate(names)]
-                    continue
-                some = np.arange(len(hashes) - window + 1) if some is None else np.sort(np.array(some, np.int64))
-                edges = np.flatnonzero(np.diff(some) != 1) + 1
-                for a, b in zip(np.append(0, edges).tolist(), np.append(edges, len(some)).tolist(), strict=True):
-                    first, last = int(some[a]), int(some[b - 1])
-                    part = hashes[first : last + window]
-                    found = anchors(mix(part ^ salt), np.array([0, len(part)]), window, gram)
-                    names = mix(found.hashes + base).view(np.int64).tolist()
-                    rows += [(name, key, digest, start + first + x, part[x : y + window]) for name, x, y in zip(names, found.firsts.tolist(), found.lasts.tolist(), strict=True)]
+                else:
+                    some = np.arange(len(hashes) - window + 1) if some is None else np.sort(np.array(some, np.int64))
+                    edges = np.flatnonzero(np.diff(some) != 1) + 1
+                    for a, b in zip(np.append(0, edges).tolist(), np.append(edges, len(some)).tolist(), strict=True):
+                        first, last = int(some[a]), int(some[b - 1])
+                        part = hashes[first : last + window]
+                        found = anchors(mix(part ^ salt), np.array([0, len(part)]), window, gram)
+                        names = mix(found.hashes + base).view(np.int64).tolist()
+                        rows += [(name, key, digest, start + first + x, part[x : y + window]) for name, x, y in zip(names, found.firsts.tolist(), found.lasts.tolist(), strict=True)]
+                whole += [first_anchor] * (len(rows) - len(whole))
             if rows:
-                yield _segment_rows(rows)
+                out = _segment_rows(rows)
+                yield out.append_column("whole_anchor", pa.array(whole, pa.int64()))
 
     return cut
