@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from functools import cached_property
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .errors import GraphFormatError
@@ -82,7 +82,8 @@ class Graph:
         """From entries (i, j, weight) of an adjacency or Laplacian matrix."""
         entries = entries.select("i", "j", "weight")
         if n is None:
-            n = (entries.agg(F.max(F.greatest("i", "j"))).first()[0] or -1) + 1 if not entries.isEmpty() else 0
+            largest = entries.agg(F.max(F.greatest("i", "j"))).first()[0]
+            n = 0 if largest is None else largest + 1
         return cls(adjacency_from(entries), n, validate=True)
 
     @classmethod
@@ -98,7 +99,8 @@ class Graph:
         """From one row (i, j, weight) per undirected edge; repeated edges add up and a loop adds twice its weight."""
         entries = symmetrised(edges)
         if n is None:
-            n = (edges.agg(F.max(F.greatest("i", "j"))).first()[0] or 0) + 1 if not edges.isEmpty() else 0
+            largest = edges.agg(F.max(F.greatest("i", "j"))).first()[0]
+            n = 0 if largest is None else largest + 1
         return cls(entries.filter(F.abs("weight") > EPSILON), n)
 
     @property
@@ -231,6 +233,23 @@ class Graph:
         return self.edges.join(frontier.select(F.col("id").alias("i")).distinct(), "i", "left_semi")
 
 
+#: Numbers that one row makes at once.
+STRETCH = 1 << 14
+
+
+def ranges(rows: DataFrame, begin: Column, end: Column, name: str, spread: bool = False) -> DataFrame:
+    """rows with `name`: each row once for every number from begin to end - 1, in stretches, so that no row holds a long array.
+
+    Where few rows make very many, `spread` deals the stretches out to all tasks.
+    """
+    whole = rows.withColumns({"range_begin": begin, "range_end": end}).filter("range_begin < range_end")
+    whole = whole.withColumn("range_at", F.explode(F.sequence(F.col("range_begin"), F.col("range_end") - 1, F.lit(STRETCH).cast("long"))))
+    if spread:
+        whole = whole.repartition(*whole.columns)
+    last = F.least(F.col("range_at") + STRETCH, F.col("range_end")) - 1
+    return whole.withColumn(name, F.explode(F.sequence(F.col("range_at"), last))).drop("range_begin", "range_end", "range_at")
+
+
 def _named(spark: SparkSession, n: int, least: int = 2) -> DataFrame:
     if n < least:
         raise ValueError(f"this graph has at least {least} vertices")
@@ -243,9 +262,8 @@ def cycle_graph(spark: SparkSession, n: int) -> Graph:
 
 
 def complete_graph(spark: SparkSession, n: int) -> Graph:
-    """All n * (n - 1) entries, made from n rows by generating each vertex's others."""
-    ids = _named(spark, n)
-    edges = ids.select(F.col("id").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("j")).filter("i <> j")
+    """All n * (n - 1) entries, made from n rows by generating each vertex's others, a bounded stretch of them at a time."""
+    edges = ranges(_named(spark, n).select(F.col("id").alias("i")), F.lit(0).cast("long"), F.lit(n).cast("long"), "j").filter("i <> j")
     return Graph(edges.withColumn("weight", F.lit(1.0)), n)
 
 

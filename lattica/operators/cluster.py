@@ -4,67 +4,17 @@ from __future__ import annotations
 
 from collections import deque
 
-import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..graph import Graph
 from ..work import stage
+from .kmeans import kmeans
+from .running import running_sums
 from .spectrum import GraphMatrix, Which, compute_eigensystem
 
-# k-means
-
-
-def _seeds(x: np.ndarray, k: int, rng: np.random.Generator, plus: bool) -> np.ndarray:
-    """k rows: k-means++ (the first uniform, then in proportion to the least squared distance) or without replacement."""
-    if not plus:
-        return x[rng.permutation(len(x))[:k]]
-    centers = [x[rng.integers(len(x))]]
-    nearest = ((x - centers[0]) ** 2).sum(1)
-    while len(centers) < k:
-        total = nearest.sum()
-        at = rng.integers(len(x)) if total <= 0 else min(int(np.searchsorted(np.cumsum(nearest), rng.random() * total, side="right")), len(x) - 1)
-        centers.append(x[at])
-        nearest = np.minimum(nearest, ((x - centers[-1]) ** 2).sum(1))
-    return np.stack(centers)
-
-
-def lloyd(x: np.ndarray, k: int, rounds: int, seed: int = 42, plus: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """Labels and centers; stops when the total distance stays the same. An empty cluster's center moves to the origin."""
-    centers, last = _seeds(x, k, np.random.default_rng(seed), plus), -1.0
-    label = np.zeros(len(x), np.int64)
-    for _ in range(rounds):
-        d = (x**2).sum(1)[:, None] - 2 * x @ centers.T + (centers**2).sum(1)
-        label = d.argmin(1)
-        total = float(d[np.arange(len(x)), label].sum())
-        if total == last:
-            break
-        last = total
-        sums = np.zeros_like(centers)
-        np.add.at(sums, label, x)
-        centers = sums / (np.bincount(label, minlength=k)[:, None] + 1e-100)
-    return label, centers
-
-
-#: Numbers of a point table that k-means takes to the driver.
-DRIVER_NUMBERS = 5_000_000
-
-
-def kmeans(points: DataFrame, k: int, rounds: int = 100, seed: int = 42, plus: bool = True) -> DataFrame:
-    """(id, label) of points (id, x); larger tables go to Spark's distributed k-means."""
-    shape = points.agg(F.count("*").alias("n"), F.max(F.size("x")).alias("d")).first()
-    if not 1 <= k <= max(1, shape.n):
-        raise ValueError("there are between 1 and n clusters")
-    if shape.n * (shape.d or 0) <= DRIVER_NUMBERS:
-        rows = points.orderBy("id").collect()
-        label, _ = lloyd(np.array([r.x for r in rows], np.float64), k, rounds, seed, plus)
-        return points.sparkSession.createDataFrame([(r.id, int(c)) for r, c in zip(rows, label, strict=True)], "id long, label long")
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    vectors = points.select("id", array_to_vector("x").alias("features"))
-    model = KMeans(k=k, seed=seed, initMode="k-means||" if plus else "random", maxIter=rounds).fit(vectors)
-    return model.transform(vectors).select("id", F.col("prediction").cast("long").alias("label"))
+#: Runs of k-means over eigenvectors, of which the best counts: one alone may end in a poor optimum.
+RUNS = 8
 
 
 def spectral_cluster(g: Graph, k: int, seed: int = 42) -> DataFrame:
@@ -72,8 +22,7 @@ def spectral_cluster(g: Graph, k: int, seed: int = 42) -> DataFrame:
     if not 1 <= k <= g.n // 2:
         raise ValueError(f"k lies between 1 and {g.n // 2}")
     system = compute_eigensystem(g, GraphMatrix.NORMALISED_LAPLACIAN, k, Which.SMALLEST)
-    label, _ = lloyd(system.vectors, k, 100 * k, seed)  # the vectors are on the driver already
-    return g.spark.createDataFrame([(i, int(c)) for i, c in enumerate(label)], "id long, label long")
+    return kmeans(system.points(g.spark), k, 100 * k, seed, runs=RUNS)
 
 
 def cheeger_cut(g: Graph) -> DataFrame:
@@ -89,26 +38,6 @@ def cheeger_cut(g: Graph) -> DataFrame:
 # sweeps
 
 
-def running_sums(rows: DataFrame, order: list[Column], columns: list[str]) -> DataFrame:
-    """rows with `rank` (from 1) and the running sums of columns in a total order, without gathering all rows in one task.
-
-    Rows are dealt by ranges of the order; each range sums on its own, and starts from the totals of the ranges before it.
-    """
-    n = F.monotonically_increasing_id()  # the range in its high bits
-    placed = stage(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("n", n), "sweep-order").withColumn("part", F.shiftright("n", 33))
-    totals = placed.groupBy("part").agg(F.count("*").alias("size"), *(F.sum(c).alias(c) for c in columns)).orderBy("part").collect()  # a row for each range
-    before, at = [], [0] + [0.0] * len(columns)
-    for r in totals:
-        before.append((r.part, *at))
-        at = [at[0] + r["size"], *(x + (r[c] or 0.0) for x, c in zip(at[1:], columns, strict=True))]
-    names = [f"before_{c}" for c in columns]
-    begins = rows.sparkSession.createDataFrame(before, ", ".join(["part long", "before_rank long", *(f"{c} double" for c in names)]))
-    within = Window.partitionBy("part").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    out = placed.withColumn("rank", F.row_number().over(Window.partitionBy("part").orderBy("n")).cast("long"))
-    out = out.withColumns({c: F.sum(c).over(within) for c in columns}).join(F.broadcast(begins), "part")
-    return out.withColumns({c: F.col(c) + F.col(b) for c, b in zip(columns, names, strict=True)}).withColumn("rank", F.col("rank") + F.col("before_rank")).drop("part", "n", "before_rank", *names)
-
-
 def sweep_profile(g, scores: DataFrame) -> DataFrame:
     """(rank, id, cut, volume) of each prefix of vertices (id, value) in descending order of value, ties to the smaller id.
 
@@ -249,3 +178,6 @@ def local_cluster(g, seed: int, target_volume: float) -> DataFrame:
     if target_volume <= 0:
         raise ValueError("the target volume is positive")
     return local_cluster_acl(g, seed, 0.01, 1 / target_volume)
+
+
+__all__ = ["approximate_pagerank", "bulk_pagerank", "cheeger_cut", "kmeans", "local_cluster", "local_cluster_acl", "pagerank_round", "running_sums", "spectral_cluster", "sweep_profile", "sweep_set"]

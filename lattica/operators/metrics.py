@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..graph import Graph
-
+from ..work import stage
 
 
 def _nan() -> Column:
@@ -25,18 +25,25 @@ def _pairs(n: Column) -> Column:
 
 def check_labels(truth: DataFrame, labels: DataFrame) -> None:
     """Both name the same vertices with labels of 0 or more; one job."""
-    a, b = truth.toDF("id", "a"), labels.toDF("id", "b")
-    bad = a.join(b, "id", "full").filter("a is null or b is null or a < 0 or b < 0")
-    if not bad.isEmpty():
+    _checked_cells(truth, labels)
+
+
+def _checked_cells(truth: DataFrame, labels: DataFrame) -> DataFrame:
+    """The contingency table, staged. Vertices that one side lacks make cells of their own, so the same pass tells whether the labels are sound."""
+    cells = truth.toDF("id", "truth").join(labels.toDF("id", "label"), "id", "full").groupBy("truth", "label").agg(F.count("*").alias("n"))
+    cells = stage(cells, "contingency")
+    if not cells.filter("truth is null or label is null or truth < 0 or label < 0").isEmpty():
         raise ValueError("the labellings differ in size or hold a negative label")
+    return cells
 
 
 def contingency_table(truth: DataFrame, labels: DataFrame) -> DataFrame:
-    """(truth, label, n) of the pairs that occur."""
-    return truth.toDF("id", "truth").join(labels.toDF("id", "label"), "id").groupBy("truth", "label").agg(F.count("*").alias("n"))
+    """(truth, label, n) of the pairs that occur. Labellings of unlike vertices and negative labels raise."""
+    return _checked_cells(truth, labels)
 
 
 def cluster_sizes(labels: DataFrame) -> DataFrame:
+    """(label, n)."""
     return labels.toDF("id", "label").groupBy("label").agg(F.count("*").alias("n"))
 
 

@@ -8,7 +8,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..graph import Graph, symmetrised
+from ..functions.draws import text_uniform
+from ..graph import Graph, ranges, symmetrised
 from ..sources.edgelist import edge_line
 
 #: Pairs of a block pair from which on endpoints are sampled, where the probability is below one half.
@@ -26,10 +27,6 @@ def pair_uniform(i: Column, j: Column, seed: int) -> Column:
     return x / float(HASH_P)
 
 
-def _uniform(*columns: Column) -> Column:
-    return F.shiftrightunsigned(F.xxhash64(*columns), 11).cast("double") / 2.0**53
-
-
 def _check(sizes: Sequence[int], p: Sequence[Sequence[float]]) -> None:
     if any(s < 1 for s in sizes):
         raise ValueError("blocks have at least one vertex")
@@ -39,42 +36,44 @@ def _check(sizes: Sequence[int], p: Sequence[Sequence[float]]) -> None:
         raise ValueError("probabilities lie between 0 and 1")
 
 
-def sbm_edges(spark: SparkSession, sizes: Sequence[int], p: Sequence[Sequence[float]], exact: bool = False, seed: int = 42) -> DataFrame:
-    """(i, j, weight): a row per drawn edge, i < j inside a block. Of p the upper triangle counts.
-
-    Block pairs of many vertices and a low probability draw a Gaussian number of edges with uniform endpoints, so
-    an edge may be drawn several times; all others toss a coin for every pair. Rows are made where they are needed:
-    a vertex generates its own pairs, and nothing is joined.
-    """
+def block_pairs(sizes: Sequence[int], p: Sequence[Sequence[float]], exact: bool = False, seed: int = 42) -> list[tuple[int, int, float, int | None]]:
+    """(block, block, probability, edges to draw) of all block pairs with edges; None edges where every pair of vertices tosses a coin."""
     _check(sizes, p)
-    begins = np.concatenate([[0], np.cumsum(sizes)]).tolist()
-    rng = np.random.default_rng(seed)
-    whole = spark.createDataFrame([], "i long, j long, weight double")
+    rng, out = np.random.default_rng(seed), []
     for a in range(len(sizes)):
         for b in range(a, len(sizes)):
             prob, pairs = float(p[a][b]), sizes[a] * sizes[b]
             if prob == 0:
                 continue
-            if pairs >= SAMPLED_PAIRS and prob < 0.5 and not exact:
-                most = pairs // 2 if a == b else pairs
-                if prob * most < 1:
-                    continue
-                number = int(min(most, max(0, np.floor(rng.normal(prob * most, np.sqrt((1 - prob) * prob * most))))))
-                ends = lambda k, at, size: (F.floor(_uniform(F.col("id"), F.lit(seed), F.lit(k), F.lit(a), F.lit(b)) * size) + at).cast("long")  # noqa: E731, B023
-                drawn = spark.range(number).select(ends(0, begins[a], sizes[a]).alias("i"), ends(1, begins[b], sizes[b]).alias("j"))
-                if a == b:  # an equal second end moves on by a drawn step, so no vertex meets itself
-                    step = ends(2, 1, max(1, sizes[a] - 1))
-                    again = spark.range(number).select(ends(0, begins[a], sizes[a]).alias("i"), (begins[a] + F.pmod(ends(0, 0, sizes[a]) + step, F.lit(sizes[a]))).alias("j"))
-                    drawn = again if sizes[a] > 1 else drawn.limit(0)
-                edges = drawn.withColumn("weight", F.lit(1.0))
-            else:
-                own = spark.range(begins[a], begins[a + 1])
-                first = F.col("id") + 1 if a == b else F.lit(begins[b]).cast("long")
-                last = F.lit(begins[b + 1] - 1).cast("long")
-                others = F.when(first <= last, F.sequence(F.least(first, last), last)).otherwise(F.array().cast("array<long>"))
-                edges = own.select(F.col("id").alias("i"), F.explode(others).alias("j")).filter(pair_uniform(F.col("i"), F.col("j"), seed) < prob).withColumn("weight", F.lit(1.0))
-            whole = whole.unionByName(edges)
-    return whole
+            if pairs < SAMPLED_PAIRS or prob >= 0.5 or exact:
+                out.append((a, b, prob, None))
+                continue
+            most = pairs // 2 if a == b else pairs
+            if prob * most >= 1:
+                out.append((a, b, prob, int(min(most, max(0, np.floor(rng.normal(prob * most, np.sqrt((1 - prob) * prob * most))))))))
+    return out
+
+
+def sbm_edges(spark: SparkSession, sizes: Sequence[int], p: Sequence[Sequence[float]], exact: bool = False, seed: int = 42) -> DataFrame:
+    """(i, j, weight): a row per drawn edge, i < j inside a block. Of p the upper triangle counts.
+
+    Block pairs of many vertices and a low probability draw a Gaussian number of edges with uniform endpoints, so
+    an edge may be drawn several times; all others toss a coin for every pair. Block pairs are rows of one table, which makes
+    rows for vertices, pairs and draws where they are needed; nothing is joined, and the plan is the same for any number of blocks.
+    """
+    begins = np.concatenate([[0], np.cumsum(sizes)]).tolist()
+    rows = [(a, b, prob, number, begins[a], sizes[a], begins[b], sizes[b]) for a, b, prob, number in block_pairs(sizes, p, exact, seed)]
+    pairs = spark.createDataFrame(rows, "a long, b long, prob double, number long, begin_a long, size_a long, begin_b long, size_b long")
+    same = F.col("a") == F.col("b")
+    tossed = ranges(pairs.filter("number is null"), F.col("begin_a"), F.col("begin_a") + F.col("size_a"), "i", spread=True)
+    tossed = ranges(tossed, F.when(same, F.col("i") + 1).otherwise(F.col("begin_b")), F.col("begin_b") + F.col("size_b"), "j")
+    tossed = tossed.filter(pair_uniform(F.col("i"), F.col("j"), seed) < F.col("prob"))
+    drawn = ranges(pairs.filter("number is not null"), F.lit(0).cast("long"), F.col("number"), "k", spread=True)
+    place = lambda which, size: F.floor(text_uniform(F.col("k"), F.col("a"), F.col("b"), F.lit(which), F.lit(seed)) * size).cast("long")
+    # inside a block the second end is a drawn step away from the first, so no vertex meets itself
+    step = F.pmod(place(0, F.col("size_a")) + 1 + place(1, F.col("size_a") - 1), F.col("size_a"))
+    drawn = drawn.filter(~same | (F.col("size_a") > 1)).select((F.col("begin_a") + place(0, F.col("size_a"))).alias("i"), (F.col("begin_b") + F.when(same, step).otherwise(place(1, F.col("size_b")))).alias("j"))
+    return tossed.select("i", "j").unionAll(drawn).withColumn("weight", F.lit(1.0))
 
 
 def general_sbm(spark: SparkSession, sizes: Sequence[int], p: Sequence[Sequence[float]], exact: bool = False, seed: int = 42) -> Graph:
@@ -110,9 +109,9 @@ def general_sbm_labels(spark: SparkSession, sizes: Sequence[int]) -> DataFrame:
     """(id, label) of the drawn blocks."""
     if any(s < 1 for s in sizes):
         raise ValueError("blocks have at least one vertex")
-    parts = [(b, int(sum(sizes[:b])), int(s)) for b, s in enumerate(sizes)]
-    blocks = spark.createDataFrame(parts, "label long, begin long, size long")
-    return blocks.select(F.explode(F.sequence(F.col("begin"), F.col("begin") + F.col("size") - 1)).alias("id"), "label")
+    begins = np.concatenate([[0], np.cumsum(sizes)]).tolist()
+    blocks = spark.createDataFrame([(b, begins[b], int(s)) for b, s in enumerate(sizes)], "label long, begin long, size long")
+    return ranges(blocks, F.col("begin"), F.col("begin") + F.col("size"), "id", spread=True).select("id", "label")
 
 
 def sbm_labels(spark: SparkSession, n: int, k: int) -> DataFrame:

@@ -58,12 +58,19 @@ def component_lists(g: Graph) -> DataFrame:
 
 
 def connected_component(g, v: int) -> DataFrame:
-    """Vertices (id) that v reaches, by rounds of a frontier: its neighbours that weren't reached before are the next one.
+    """Vertices (id) that v reaches.
 
-    Works on whatever has neighbors_of(frontier): work grows with the component, rounds with its depth.
+    Of a graph of edges all components are found, in rounds that grow with the logarithm of its size, whatever the depth. Whatever else has
+    neighbors_of(frontier), as a stored graph, is searched by rounds of a frontier, whose neighbours that weren't
+    reached before are the next one: work grows with the component, rounds with its depth.
     """
     if not g.vertex_exists(v):
         raise ValueError(f"{v} is no vertex")
+    if isinstance(g, Graph):
+        labels = component_labels(g.edges.select("i", "j"), staged)
+        own = labels.filter(F.col("v") == v).select("label")
+        alone = g.spark.createDataFrame([(v,)], "id long")
+        return labels.join(own, "label", "left_semi").select(F.col("v").alias("id")).union(alone).distinct()
     spark = g.spark
     reached = spark.createDataFrame([(v,)], "id long")
     frontier = reached
@@ -76,4 +83,9 @@ def connected_component(g, v: int) -> DataFrame:
 
 
 def is_connected(g: Graph) -> bool:
-    return g.n > 0 and connected_component(g, 0).count() == g.n
+    """Whether all vertices are one component; a graph without vertices isn't connected."""
+    if g.n <= 1:
+        return g.n == 1
+    labels = component_labels(g.edges.select("i", "j"), staged)
+    seen = labels.agg(F.count("*").alias("n"), F.min("label").alias("least"), F.max("label").alias("most")).first()
+    return seen.n == g.n and seen.least == seen.most

@@ -33,7 +33,7 @@ def nation_region(spark: SparkSession, sf_dir: str) -> Graph:
 def user_event(spark: SparkSession, sf_dir: str) -> Graph:
     """Users in order of their id, then event types in order of their name; an edge weighs the events."""
     events = read(spark, sf_dir, "events").filter("user_id is not null and event_type is not null").groupBy("user_id", "event_type").agg(F.count("*").cast("double").alias("weight"))
-    from ..operators.cluster import running_sums
+    from ..operators.running import running_sums
 
     users = running_sums(events.select("user_id").distinct(), [F.asc("user_id")], []).select("user_id", (F.col("rank") - 1).alias("i"))
     n_users = users.count()

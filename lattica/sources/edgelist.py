@@ -54,8 +54,8 @@ def number_text(x: Column) -> Column:
 
 def save_edgelist(g: Graph, path: str) -> None:
     """Edges u < v below a header. Loops and isolated vertices are lost, as the format has no place for them; Parquet keeps both."""
-    rows = g.edges.filter("i < j").select((F.col("i") * g.n + F.col("j")).alias("k"), edge_line(F.col("i"), F.col("j"), F.col("weight")).alias("value"))
-    write_lines(rows, path, ["# Edge list: a line `u v weight` for each edge", f"# Number of vertices: {g.n}", f"# Number of edges: {g.number_of_edges()}"])
+    rows = g.edges.filter("i < j").select("i", "j", edge_line(F.col("i"), F.col("j"), F.col("weight")).alias("value"))
+    write_lines(rows, path, ["# Edge list: a line `u v weight` for each edge", f"# Number of vertices: {g.n}", f"# Number of edges: {g.number_of_edges()}"], ("i", "j"))
 
 
 def duplicate_edges(spark: SparkSession, source: str, target: str) -> None:

@@ -40,7 +40,9 @@ def tokens(line: Column) -> Column:
     return F.when(plain.contains(","), parts(",")).when(plain.contains(" "), parts(" ")).otherwise(parts("\t"))
 
 
-def write_lines(lines: DataFrame, path: str, header: list[str]) -> None:
-    """Rows (k, value) in order of k below the header lines, as a folder of text files."""
-    top = lines.sparkSession.createDataFrame([(-len(header) + i, h) for i, h in enumerate(header)], "k long, value string")
-    top.unionByName(lines.select(F.col("k").cast("long"), "value")).repartitionByRange("k").sortWithinPartitions("k").select("value").write.mode("overwrite").text(path)
+def write_lines(lines: DataFrame, path: str, header: list[str], order: tuple[str, ...] = ("k",)) -> None:
+    """The column `value` of rows in the order of some columns (of numbers from 0 on), below the header lines, as a folder of text files."""
+    top = lines.sparkSession.createDataFrame([(-len(header) + i, h) for i, h in enumerate(header)], f"{order[0]} long, value string")
+    rows = top.select(*(F.col(order[0]) if c == order[0] else F.lit(0).cast("long").alias(c) for c in order), "value")
+    rows = rows.unionByName(lines.select(*(F.col(c).cast("long").alias(c) for c in order), "value"))
+    rows.repartitionByRange(*order).sortWithinPartitions(*order).select("value").write.mode("overwrite").text(path)
