@@ -123,6 +123,15 @@ def vertex_exists(spark, sf_dir):
     return spark.createDataFrame([(v, g.vertex_exists(v)) for v in (-1, 0, 7, 1_000_000_000)], "v long, found boolean")
 
 
+@query(graph_sql("SELECT v::BIGINT AS v, EXISTS (SELECT 1 FROM e WHERE e.i = v) AS found FROM (VALUES (-1), (0), (7), (1000000000)) t(v)"))
+def stored_vertex_exists(spark, sf_dir):
+    """Of a graph that lies in Parquet, where a vertex is one with a row."""
+    path = shared_path(spark, "stored-graph")
+    edgelist.save_parquet(ps(spark, sf_dir), path)
+    stored = local_graph.StoredGraph.open_parquet(spark, path)
+    return spark.createDataFrame([(v, stored.vertex_exists(v)) for v in (-1, 0, 7, 1_000_000_000)], "v long, found boolean")
+
+
 @query(graph_sql("SELECT i, j, weight FROM e WHERE i < 20"))
 def stored_neighbors(spark, sf_dir):
     """Neighbours of a frontier of a graph that lies in Parquet."""
@@ -353,9 +362,9 @@ def is_connected(spark, sf_dir):
     return spark.createDataFrame([(traversal.is_connected(geo(spark, sf_dir)),)], "connected boolean")
 
 
-@query(graph_sql(", q(id) AS (SELECT min(id) FROM d UNION SELECT j FROM q JOIN e ON e.i = q.id) SELECT id, 0::BIGINT AS component FROM q", recursive=True), "components_part_supplier")
+# the least label spreads until no neighbour has a lesser one; a round sees the vertices that the one before has changed
+@query(graph_sql(", q(id, component) USING KEY (id) AS (SELECT id, id FROM d UNION SELECT e.j, min(q.component) FROM q JOIN e ON e.i = q.id JOIN recurring.q r ON r.id = e.j WHERE q.component < r.component GROUP BY e.j) SELECT id, component FROM q", recursive=True))
 def components_part_supplier(spark, sf_dir):
-    """Of all vertices; the SQL follows the first component, which is the only one where every part and supplier is sold."""
     return traversal.connected_components(ps(spark, sf_dir))
 
 
@@ -496,14 +505,18 @@ def exact_kde(spark, sf_dir):
     return rounded(kde.exact_kde(x, x, 1.0), "density")
 
 
-@query(f"SELECT a.vec_id AS i, b.vec_id AS j, round(exp(-1.0 * {_PAIR}), 6) AS weight FROM embeddings a, embeddings b WHERE a.vec_id < 100 AND b.vec_id < 100")
+_SIMILAR = f"SELECT a.vec_id AS i, b.vec_id AS j, round(exp(-{{a}} * {_PAIR}), 6) AS weight FROM embeddings a, embeddings b WHERE exp(-{{a}} * {_PAIR}) > 1e-10"
+
+
+@query(_SIMILAR.format(a=8.0))
 def similarity_graph(spark, sf_dir):
-    return rounded(kde.similarity_graph(datasets.embedding_points(spark, sf_dir).filter("id < 100"), 1.0).edges, "weight")
+    """Of a narrow kernel."""
+    return rounded(kde.similarity_graph(datasets.embedding_points(spark, sf_dir), 8.0).edges, "weight")
 
 
-@query()
+@query(_SIMILAR.format(a=1.0))
 def similarity_graph_embeddings(spark, sf_dir):
-    """Edges among all embeddings; similarity_graph and its SQL hold those of the first hundred."""
+    """Of a wide kernel, so all points are neighbours."""
     return rounded(kde.similarity_graph(datasets.embedding_points(spark, sf_dir), 1.0).edges, "weight")
 
 
@@ -517,10 +530,28 @@ def kde_neighbour_samples(spark, sf_dir):
     return kde.sample_neighbours(x, x, 1.0, draws)
 
 
-@query()
+def uniform_sql(*terms: str) -> str:
+    """text_uniform of terms, whose texts are the same in both engines."""
+    return f"(('0x' || substr(md5(concat_ws(',', {', '.join(terms)})), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE)"
+
+
+# levels, units, each copy's points in them, the kernel sum of each copy, and the median of copies
+@query(f"""WITH c AS (SELECT count(*) AS n, ceil(log2(count(*)))::BIGINT AS top, ceil(ln(count(*)))::BIGINT AS copies FROM embeddings),
+ l AS (SELECT c.*, k, top - 2 * k AS t FROM c, (SELECT unnest(range(64)) AS k) WHERE k <= ceil(top / 2.0)),
+ s AS (SELECT l.*, unnest(range(top - t + 1)) AS j FROM l),
+ p AS (SELECT *, least(1.0, CASE WHEN j = 0 THEN 1.0 / n ELSE pow(2.0, -j - t) END)::DOUBLE AS p FROM s),
+ u AS (SELECT *, CASE WHEN p <= 0.5 THEN 1 - 2 * p ELSE 0 END AS begin_, CASE WHEN j = 0 THEN top - t ELSE j - 1 END * ln(2) AS inner_, CASE WHEN j = 0 THEN 1e300 ELSE j * ln(2) END AS outer_ FROM p),
+ o AS (SELECT vec_id AS id, copy, {uniform_sql('vec_id', 'copy', '42')} AS draw FROM embeddings, (SELECT unnest(range(copies)) AS copy FROM c)),
+ h AS (SELECT u.k, u.p, inner_, outer_, copy, id FROM u JOIN o ON draw >= begin_ AND draw < begin_ + p),
+ d AS (SELECT a.vec_id AS q, b.vec_id AS id, {_PAIR} AS d FROM embeddings a, embeddings b),
+ f AS (SELECT q, k, copy, sum(exp(-d) / p) AS mu FROM h JOIN d USING (id) WHERE d > inner_ AND d <= outer_ GROUP BY ALL),
+ g AS (SELECT e.vec_id AS q, l.k, l.t, copies, copy FROM embeddings e, l, unnest(range(copies)) AS x(copy)),
+ m AS (SELECT q, k, t, list_sort(list(coalesce(mu, 0.0)))[any_value(copies) // 2 + 1] AS mu FROM g LEFT JOIN f USING (q, k, copy) GROUP BY q, k, t),
+ r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY CASE WHEN mu > 0 AND ln(greatest(mu, 1e-300)) >= 1.3 * t THEN k ELSE 1000 - k END) AS rank FROM m)
+ SELECT q AS id, round(mu / (SELECT n FROM c), 6) AS density FROM r WHERE rank = 1""")
 def ckns_kde(spark, sf_dir):
     x = datasets.embedding_points(spark, sf_dir)
-    return kde.ckns_kde(x, x, 1.0)
+    return rounded(kde.ckns_kde(x, x, 1.0), "density")
 
 
 @query("""WITH n AS (SELECT count(*) AS n, ceil(log2(count(*)))::BIGINT AS top FROM embeddings),
@@ -534,7 +565,14 @@ def ckns_parameters(spark, sf_dir):
     return spark.createDataFrame(rows, "log_nmu int, shell int, p double, radius_squared double")
 
 
-@query()
+# an integral for the error function: Simpson's rule in 2000 steps
+_ERF = "(2 / sqrt(pi()) * ({x}) / 6000 * (SELECT sum(CASE WHEN i % 2000 = 0 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp(-pow(({x}) * i / 2000, 2))) FROM (SELECT unnest(range(2001)) AS i)))"
+_COLLIDE = f"CASE WHEN c < 1 THEN 1 - 0.2 * c ELSE {_ERF.format(x='2 * sqrt(2) / greatest(c, 0.5)')} - c / (2 * sqrt(2 * pi())) * (1 - exp(-8 / greatest(c * c, 0.25))) END"
+
+
+@query(f"""WITH n AS (SELECT ceil(log2(count(*)))::BIGINT AS total FROM embeddings), j AS (SELECT total, unnest(range(1, total + 1)) AS j FROM n),
+ c AS (SELECT j, ceil(j / total::DOUBLE * (total - j + 1)) AS phi, sqrt(j * ln(2) / 1.5) AS c FROM j), p AS (SELECT j, phi, {_COLLIDE} AS p FROM c)
+ SELECT j::INTEGER AS shell, greatest(1, floor(-phi / log2(p)))::INTEGER AS functions, ceil(0.1 * pow(2, phi))::INTEGER AS tables FROM p""")
 def ckns_hash_parameters(spark, sf_dir):
     """Functions and tables of the hash that would serve each shell of the lowest level."""
     n = datasets.read(spark, sf_dir, "embeddings").count()
@@ -542,9 +580,14 @@ def ckns_hash_parameters(spark, sf_dir):
     return spark.createDataFrame([(j, *kde.lsh_parameters(total, j, 1.5, 0.1)) for j in range(1, total + 1)], "shell int, functions int, tables int")
 
 
-@query()
+# of tables of up to 5000 points, which are one leaf
+@query(f"""WITH k AS (SELECT a.vec_id AS id, b.vec_id AS j, exp(-1.0 * {_PAIR}) AS k FROM embeddings a, embeddings b),
+ r AS (SELECT id, j, sum(k) OVER (PARTITION BY id ORDER BY j ROWS UNBOUNDED PRECEDING) AS upto, sum(k) OVER (PARTITION BY id) AS total FROM k),
+ w AS (SELECT id, draw, {uniform_sql('id', 'draw', "'leaf'", '42')} AS u FROM (SELECT DISTINCT id FROM k), (VALUES (0), (1)) t(draw)),
+ e AS (SELECT w.id AS i, draw, min(j) AS j, any_value(total) * (SELECT (count(*) - 1) / count(*) FROM embeddings) / 5 AS weight FROM w JOIN r ON r.id = w.id AND upto >= u * total GROUP BY w.id, draw)
+ SELECT i, j, round(sum(weight), 6) AS weight FROM (SELECT i, j, weight FROM e UNION ALL SELECT j, i, weight FROM e) GROUP BY i, j""")
 def approximate_similarity_graph(spark, sf_dir):
-    return kde.approximate_similarity_graph(datasets.embedding_points(spark, sf_dir), 1.0).edges
+    return rounded(kde.approximate_similarity_graph(datasets.embedding_points(spark, sf_dir), 1.0).edges, "weight")
 
 
 # hashing: projections of a fixed seed, as literals in both engines
@@ -577,23 +620,25 @@ def lsh_buckets(spark, sf_dir):
     return lsh.E2LSH(_FUNCTIONS, _TABLES, x, 64).buckets(x)
 
 
-@query(f"WITH b AS ({_hash_sql()}) SELECT DISTINCT q.id AS query_id, b.id FROM b q JOIN b USING (\"table\", bucket) WHERE q.id < 50")
+@query(f"WITH b AS ({_hash_sql()}) SELECT DISTINCT q.id AS query_id, b.id FROM b q JOIN b USING (\"table\", bucket) WHERE q.id % 100 = 0")
 def lsh_near_neighbors(spark, sf_dir):
+    """Bucket partners of every id divisible by 100 among all points."""
     x = datasets.embedding_points(spark, sf_dir)
-    return lsh.E2LSH(_FUNCTIONS, _TABLES, x, 64).near_neighbours(x.filter("id < 50"))
+    return lsh.E2LSH(_FUNCTIONS, _TABLES, x, 64).near_neighbours(x.filter("id % 100 = 0"))
 
 
-@query()
+@query(f"WITH b AS ({_hash_sql()}) SELECT DISTINCT q.id AS query_id, b.id FROM b q JOIN b USING (\"table\", bucket)")
 def lsh_near_neighbors_embeddings(spark, sf_dir):
-    """Bucket partners of all embeddings; lsh_near_neighbors and its SQL ask for the first fifty."""
+    """Bucket partners of all embeddings."""
     x = datasets.embedding_points(spark, sf_dir)
     return lsh.E2LSH(_FUNCTIONS, _TABLES, x, 64).near_neighbours(x)
 
 
-@query()
+@query(f"""WITH d AS (SELECT unnest([0.0, 0.05, 0.2, 0.99, 1.0, 1.5, 2.0, 5.6])::DOUBLE AS c), p AS (SELECT c, {_COLLIDE} AS p FROM d)
+ SELECT c AS distance, round(p, 6) AS one, round(1 - pow(1 - pow(p, 5), 10), 6) AS tables FROM p""")
 def e2lsh_collision_probability(spark, sf_dir):
     rows = [(c, vectors.line_collision_probability(c), vectors.table_collision_probability(5, 10, c)) for c in (0.0, 0.05, 0.2, 0.99, 1.0, 1.5, 2.0, 5.6)]
-    return spark.createDataFrame(rows, "distance double, one double, tables double")
+    return rounded(spark.createDataFrame(rows, "distance double, one double, tables double"), "one", "tables")
 
 
 # random graphs: the coin of a pair is integer arithmetic in both engines
@@ -622,15 +667,33 @@ def general_sbm_labels(spark, sf_dir):
     return random_graphs.general_sbm_labels(spark, [4, 2])
 
 
-@query()
+def _sbm_sql(sizes: list[int], p: list[list[float]]) -> str:
+    """The drawn edges, a row each: endpoints from drawn numbers, or a coin for each pair."""
+    begins, parts = np.concatenate([[0], np.cumsum(sizes)]).tolist(), []
+    for a, b, prob, number in random_graphs.block_pairs(sizes, p):
+        place = lambda which, size, a=a, b=b: f"floor({uniform_sql('k', str(a), str(b), str(which), '42')} * {size})::BIGINT"
+        if number is None:
+            rows = _ROWS.format(f"{begins[a]}, {begins[a + 1]}", f"{begins[b]}, {begins[b + 1]}")
+            parts.append(f"SELECT i, j FROM {rows} WHERE {'i < j AND ' if a == b else ''}{_U.format(s=42)} < {prob}")
+        else:
+            second = f"({place(0, sizes[a])} + 1 + {place(1, sizes[a] - 1)}) % {sizes[a]}" if a == b else place(1, sizes[b])
+            parts.append(f"SELECT {begins[a]} + {place(0, sizes[a])} AS i, {begins[b]} + {second} AS j FROM (SELECT unnest(range({number})) AS k)")
+    return " UNION ALL ".join(f"({x})" for x in parts)
+
+
+_SAMPLED = ([1000, 100, 10], [[0.4, 0.1, 0.1], [0.1, 0.7, 0.0], [0.1, 0.0, 1.0]])
+_WRITTEN = ([300, 300], [[0.2, 0.01], [0.01, 0.2]])
+
+
+@query(f"WITH x AS ({_sbm_sql(*_SAMPLED)}) SELECT i, j, count(*)::DOUBLE AS weight FROM (SELECT i, j FROM x UNION ALL SELECT j, i FROM x) GROUP BY i, j")
 def general_sbm_sampled(spark, sf_dir):
-    return random_graphs.general_sbm(spark, [1000, 100, 10], [[0.4, 0.1, 0.1], [0.1, 0.7, 0.0], [0.1, 0.0, 1.0]]).edges
+    return random_graphs.general_sbm(spark, *_SAMPLED).edges
 
 
-@query()
+@query(f"SELECT i AS u, j AS v, 1.0::DOUBLE AS weight FROM ({_sbm_sql(*_WRITTEN)})")
 def sbm_edgelist(spark, sf_dir):
     path = shared_path(spark, "sbm")
-    random_graphs.general_sbm_edgelist(spark, path, [300, 300], [[0.2, 0.01], [0.01, 0.2]])
+    random_graphs.general_sbm_edgelist(spark, path, *_WRITTEN)
     return edgelist.read_edges(spark, path)
 
 
@@ -693,9 +756,10 @@ def spectral_cluster_embeddings(spark, sf_dir):
     return cluster.spectral_cluster(kde.similarity_graph(datasets.embedding_points(spark, sf_dir), 1.0), 10)
 
 
-@query()
+@query(f"""WITH v AS (SELECT id, sqrt(-2 * ln(1 - {uniform_sql('id', '1', '42')})) * cos(2 * pi() * (1 - {uniform_sql('id', '2', '42')})) AS x FROM (SELECT unnest(range(100)) AS id))
+ SELECT id, round(x / sqrt((SELECT sum(x * x) FROM v)), 6) + 0.0 AS value FROM v""")
 def random_unit_vector(spark, sf_dir):
-    return spectrum.random_unit_vector(spark, 100)
+    return rounded(spectrum.random_unit_vector(spark, 100), "value")
 
 
 __all__ = ["QUERIES", "SQL", "np"]
