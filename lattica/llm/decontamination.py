@@ -227,6 +227,8 @@ def decontaminate(
     found_schema = "spans array<struct<a:int,b:int>>, item_ids array<string>"
     carried = ["doc_id", *(["text"] if with_text else []), *kept, *["row_id"] * several]
 
+    cut_at_once = with_text and not several  # one Python worker a task then serves both
+
     def matcher(some, names: list[str], all_rows: bool):
         def match(batches):
             automata = [h.value for h in some]
@@ -253,6 +255,8 @@ def decontaminate(
                     pa.array([sorted(x) for x in found_items], pa.list_(pa.string())),
                 ]
                 out = pa.RecordBatch.from_arrays(columns, [*names, "n_words", "spans", "item_ids"])
+                if cut_at_once:
+                    out = out.set_column(names.index("text"), "text", _cut(batch.column("text"), found_spans))
                 yield out if all_rows else out.filter(pa.array([len(x) > 0 for x in found_items], pa.bool_()))
 
         schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in texts.schema if f.name in names), "n_words long", found_schema])
@@ -277,21 +281,30 @@ def decontaminate(
     columns = ["doc_id", "n_words", "n_hit", "item_ids", "contaminated"]
     if not with_text:
         return found.select(*columns, *kept).toDF(*columns, *keep)
+    if cut_at_once:
+        return found.select(*columns, *kept, "text").toDF(*columns, *keep, "clean_text")
     cuts = found.select(*columns, *kept, "text", "spans")
 
     def cut(batches):
         for batch in batches:
-            texts_ = batch.column("text").to_pylist()
-            for k, spans in enumerate(batch.column("spans").to_pylist()):
-                if spans:
-                    texts_[k] = without_words(texts_[k], [(s["a"], s["b"]) for s in spans])
             names = batch.schema.names[:-2]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(texts_, pa.string())], [*names, "clean_text"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), _cut(batch.column("text"), batch.column("spans").to_pylist())], [*names, "clean_text"])
 
     out = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cuts.schema[:-2]) + ", clean_text string"
     return cuts.mapInArrow(cut, out).toDF(*columns, *keep, "clean_text")
 
 
+def _cut(texts: pa.Array, spans: list[list[dict[str, int]]]) -> pa.Array:
+    """The texts without their spans; those without spans as they are."""
+    if not any(spans):
+        return texts
+    out = texts.to_pylist()
+    for k, some in enumerate(spans):
+        if some:
+            out[k] = without_words(out[k], [(s["a"], s["b"]) for s in some])
+    return pa.array(out, texts.type)
+
+
 def without_words(text: str, spans: list[tuple[int, int]]) -> str:
     """The text without words a to b of each span (ascending) and what lies between them."""
     w = words(pa.array([text]), ALPHANUMERIC, True)

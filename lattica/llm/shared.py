@@ -27,7 +27,7 @@ def stage(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
 
 
 #: Rows and bytes of an Arrow batch at most, so that a batch of long texts or sets stays small.
-BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 
 def small_batches(spark: SparkSession) -> None:

@@ -21,7 +21,7 @@ from pyspark.sql import SparkSession
 from .words import UNSPACED, Words, mix, words
 
 #: Entries of a worker's table, which starts anew when it is full (about 50 bytes each), and its slots.
-TABLE_ENTRIES, SLOT_BITS = 2_000_000, 22
+TABLE_ENTRIES, SLOT_BITS = 1_200_000, 21
 
 _LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
 _WORD = re.compile(f"[{_LATIN}]+")
