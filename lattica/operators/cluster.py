@@ -11,24 +11,24 @@ from ..graph import Graph
 from ..work import stage
 from .kmeans import kmeans
 from .running import running_sums
-from .spectrum import GraphMatrix, Which, compute_eigensystem
+from .spectrum import DENSE_VERTICES, GraphMatrix, Which, compute_eigensystem
 
 #: Runs of k-means over eigenvectors, of which the best counts: one alone may end in a poor optimum.
 RUNS = 8
 
 
-def spectral_cluster(g: Graph, k: int, seed: int = 42) -> DataFrame:
+def spectral_cluster(g: Graph, k: int, seed: int = 42, dense_vertices: int = DENSE_VERTICES) -> DataFrame:
     """(id, label): k-means of the rows of the k lowest eigenvectors of the normalised Laplacian; k from 1 to n / 2."""
     if not 1 <= k <= g.n // 2:
         raise ValueError(f"k lies between 1 and {g.n // 2}")
-    system = compute_eigensystem(g, GraphMatrix.NORMALISED_LAPLACIAN, k, Which.SMALLEST)
+    system = compute_eigensystem(g, GraphMatrix.NORMALISED_LAPLACIAN, k, Which.SMALLEST, dense_vertices)
     return kmeans(system.points(g.spark), k, 100 * k, seed, runs=RUNS)
 
 
-def cheeger_cut(g: Graph) -> DataFrame:
+def cheeger_cut(g: Graph, dense_vertices: int = DENSE_VERTICES) -> DataFrame:
     """(id, label): the sweep set of the second eigenvector over the roots of degrees is 1, all else 0."""
-    vector = compute_eigensystem(g, GraphMatrix.NORMALISED_LAPLACIAN, 2, Which.SMALLEST).vectors[:, 1]
-    scores = g.spark.createDataFrame([(i, float(v)) for i, v in enumerate(vector)], "id long, x double")
+    system = compute_eigensystem(g, GraphMatrix.NORMALISED_LAPLACIAN, 2, Which.SMALLEST, dense_vertices)
+    scores = system.points(g.spark).select("id", F.col("x")[1].alias("x"))
     # isolated vertices count as 0
     scores = scores.join(g.degrees, "id").select("id", F.when(F.col("degree") > 0, F.col("x") / F.sqrt("degree")).otherwise(0.0).alias("value"))
     chosen = sweep_set(g, scores, g.total_volume()).withColumn("label", F.lit(1).cast("long"))
