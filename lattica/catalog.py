@@ -178,6 +178,23 @@ def add_vectors(spark, sf_dir):
     return matrices.add_vectors(d.filter("id % 2 = 0"), d.filter("id < 12"))
 
 
+@query(graph_sql(", c2 AS (SELECT j, count(*) AS size FROM e GROUP BY j) SELECT v.j, coalesce((SELECT sum(size) FROM c2 WHERE c2.j < v.j), 0)::BIGINT AS start FROM (SELECT unnest(range((SELECT n FROM n) + 1))::BIGINT AS j) v"))
+def compressed_column_starts(spark, sf_dir):
+    g = ps(spark, sf_dir)
+    return matrices.compressed_column_tables(matrices.adjacency(g), g.n)[0]
+
+
+@query(graph_sql("SELECT row_number() OVER (ORDER BY j, i) - 1 AS place, i, weight AS value FROM e"))
+def compressed_column_entries(spark, sf_dir):
+    g = ps(spark, sf_dir)
+    return matrices.compressed_column_tables(matrices.adjacency(g), g.n)[1]
+
+
+@query("SELECT id, CASE WHEN id < 4 THEN 1.9 ELSE 1.2 END::DOUBLE AS expected FROM (SELECT unnest(range(7)) AS id)")
+def expected_neighbours(spark, sf_dir):
+    return rounded(random_graphs.expected_neighbours(spark, [4, 3], [[0.4, 0.1], [0.15, 0.2]]), "expected")
+
+
 @query(graph_sql("SELECT j AS col_, count(*) AS n, sum(weight) AS total FROM e GROUP BY j", _GEO))
 def compressed_columns(spark, sf_dir):
     g = geo(spark, sf_dir)
@@ -408,6 +425,14 @@ def symmetric_difference(spark, sf_dir):
     return metrics.symmetric_difference(s, t)
 
 
+@query("SELECT coalesce(p, s) AS id FROM (SELECT DISTINCT l_partkey AS p FROM lineitem WHERE l_quantity > 49) a FULL JOIN (SELECT DISTINCT l_partkey AS s FROM lineitem WHERE l_discount > 0.09) b ON p = s WHERE p IS NULL OR s IS NULL")
+def symmetric_difference_parts(spark, sf_dir):
+    """Parts of large orders or of large discounts, but not both."""
+    sold = datasets.read(spark, sf_dir, "lineitem")
+    s, t = (sold.filter(f).select(F.col("l_partkey").alias("id")) for f in ("l_quantity > 49", "l_discount > 0.09"))
+    return metrics.symmetric_difference(s, t)
+
+
 # random walks and products
 
 _PUSH = """,
@@ -745,6 +770,41 @@ def approximate_pagerank(spark, sf_dir):
     return spark.createDataFrame([(v, p.get(v, 0.0), r.get(v, 0.0)) for v in sorted(r)], "id long, p double, r double")
 
 
+_NATIONS = "SELECT c_custkey AS id, min(c_custkey) OVER (PARTITION BY c_nationkey) AS cluster FROM customer"
+
+
+def _named(label: DataFrame) -> DataFrame:
+    """Clusters by their smallest vertex."""
+    least = label.groupBy("label").agg(F.min("id").alias("cluster"))
+    return label.join(least, "label").select("id", "cluster")
+
+
+def _nations(spark, sf_dir) -> int:
+    return datasets.read(spark, sf_dir, "customer").select("c_nationkey").distinct().count()
+
+
+@query(_NATIONS)
+def kmeans_customers(spark, sf_dir):
+    """As many clusters as nations, which lie far apart."""
+    return _named(cluster.kmeans(datasets.customer_points(spark, sf_dir), _nations(spark, sf_dir)))
+
+
+@query(_NATIONS)
+def spectral_cluster_customers(spark, sf_dir):
+    """As many clusters as nations, each a component."""
+    return _named(cluster.spectral_cluster(datasets.customer_rings(spark, sf_dir), _nations(spark, sf_dir)))
+
+
+@query("""WITH d AS (SELECT ceil(log2(count(*)))::BIGINT AS d FROM supplier) SELECT rank::INTEGER AS rank, round(CASE WHEN rank = 0 THEN 0 ELSE 2.0 / d END, 6) + 0.0 AS value FROM d, unnest(range(4)) AS u(rank)""")
+def eigenvalues_hypercube(spark, sf_dir):
+    """The lowest values of a hypercube of at least as many vertices as suppliers, by the solver that keeps vectors in tables."""
+    bits = int(np.ceil(np.log2(datasets.read(spark, sf_dir, "supplier").count())))
+    n = 1 << bits
+    edges = spark.range(n).select(F.col("id").alias("i"), F.explode(F.array(*(F.col("id").bitwiseXOR(1 << k) for k in range(bits)))).alias("j"))
+    system = spectrum.compute_eigensystem(Graph(stage(edges.withColumn("weight", F.lit(1.0)), "hypercube"), n), spectrum.GraphMatrix.NORMALISED_LAPLACIAN, 4, spectrum.Which.SMALLEST, dense_vertices=0)
+    return rounded(spark.createDataFrame([(r, abs(float(v))) for r, v in enumerate(system.values)], "rank int, value double"), "value")
+
+
 @query()
 def kmeans(spark, sf_dir):
     return cluster.kmeans(datasets.embedding_points(spark, sf_dir), 10)

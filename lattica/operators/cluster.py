@@ -69,32 +69,44 @@ def sweep_set(g, scores: DataFrame, total_volume: float | None = None) -> DataFr
 
 
 class _Lists:
-    """Neighbour lists by vertex, fetched from a graph a frontier at a time.
+    """Degrees and neighbour lists by vertex, fetched from a graph a frontier at a time.
 
-    When a list is missing, those of other vertices on the edge of what is known come with it, so there are about as many
-    fetches as steps from the seed, not as pushes.
+    The degree of a vertex is a sum made where the graph lies; a list comes to the driver when its vertex is pushed, and the volume of
+    all pushed vertices is bounded by 1 / (alpha * epsilon). With degrees that are missing, those of other vertices on the edge of what is known
+    come along, and the short ones of their lists, so there are about as many fetches as steps from the seed, not as pushes.
     """
 
-    MORE = 5000
+    MORE, SHORT = 5000, 50
 
     def __init__(self, g):
-        self.g, self.held, self.near = g, {}, set()
+        self.g, self.held, self.degrees, self.near = g, {}, {}, set()
 
-    def fetch(self, vertices) -> None:
-        missing = set(vertices) - self.held.keys()
+    def _entries(self, vertices) -> DataFrame:
+        return self.g.neighbors_of(self.g.spark.createDataFrame([(v,) for v in sorted(vertices)], "id long"))
+
+    def look(self, vertices) -> None:
+        missing = set(vertices) - self.degrees.keys()
         if not missing:
             return
-        self.near -= self.held.keys()
+        self.near -= self.degrees.keys()
         missing |= set(sorted(self.near - missing)[: self.MORE])
-        for v in missing:
-            self.held[v] = []
-        frontier = self.g.spark.createDataFrame([(v,) for v in sorted(missing)], "id long")
-        for r in self.g.neighbors_of(frontier).orderBy("i", "j").collect():  # the lists of a frontier, as local work needs
-            self.held[r.i].append((r.j, r.weight))
-            self.near.add(r.j)
+        self.degrees |= dict.fromkeys(missing, 0.0)
+        entry = F.when(F.col("i") == F.col("j"), 2 * F.col("weight")).otherwise(F.col("weight"))
+        rows = self._entries(missing).groupBy("i").agg(F.sum(entry).alias("degree"), F.count("*").alias("n")).collect()  # a row for each vertex of the frontier
+        self.degrees |= {r.i: r.degree for r in rows}
+        self._hold([r.i for r in rows if r.n <= self.SHORT])
+
+    def _hold(self, vertices: list[int]) -> None:
+        self.held |= {v: [] for v in vertices}
+        if vertices:
+            for r in self._entries(vertices).orderBy("i", "j").collect():  # short lists of a frontier, or that of a pushed vertex
+                self.held[r.i].append((r.j, r.weight))
+                self.near.add(r.j)
 
-    def degree(self, v: int) -> float:
-        return sum(2 * w if u == v else w for u, w in self.held[v])
+    def neighbours(self, v: int) -> list[tuple[int, float]]:
+        if v not in self.held:
+            self._hold([v])
+        return self.held[v]
 
 
 def approximate_pagerank(g, seed: dict[int, float], alpha: float, epsilon: float) -> tuple[dict[int, float], dict[int, float]]:
@@ -105,13 +117,13 @@ def approximate_pagerank(g, seed: dict[int, float], alpha: float, epsilon: float
     """
     _check_pagerank(g, seed, alpha, epsilon)
     lists, p, r = _Lists(g), {}, dict(seed)
-    lists.fetch(r)
-    queue = deque(u for u in sorted(r) if lists.degree(u) != 0 and r[u] >= epsilon * lists.degree(u))
+    lists.look(r)
+    queue = deque(u for u in sorted(r) if lists.degrees[u] != 0 and r[u] >= epsilon * lists.degrees[u])
     waiting = set(queue)
     while queue:
         u = queue.popleft()
         waiting.discard(u)
-        near, degree = lists.held[u], lists.degree(u)
+        near, degree = lists.neighbours(u), lists.degrees[u]
         mass = r[u]
         p[u] = p.get(u, 0.0) + alpha * mass
         r[u] = (1 - alpha) * mass / 2
@@ -120,9 +132,9 @@ def approximate_pagerank(g, seed: dict[int, float], alpha: float, epsilon: float
         if r[u] >= epsilon * degree:
             queue.appendleft(u)
             waiting.add(u)
-        lists.fetch(v for v, _ in near)
+        lists.look(v for v, _ in near)
         for v, _ in near:
-            if v not in waiting and r[v] >= epsilon * lists.degree(v):
+            if v not in waiting and r[v] >= epsilon * lists.degrees[v]:
                 queue.append(v)
                 waiting.add(v)
     return p, r
@@ -169,8 +181,8 @@ def local_cluster_acl(g, seed: int, locality: float, error: float = 0.001) -> Da
         raise ValueError("locality lies between 0 and 1, and the error is positive")
     p, _ = approximate_pagerank(g, {seed: 1.0}, locality, error)
     lists = _Lists(g)
-    lists.fetch(p)
-    scores = [(v, x / lists.degree(v)) for v, x in p.items() if lists.degree(v) > 0]
+    lists.look(p)
+    scores = [(v, x / lists.degrees[v]) for v, x in p.items() if lists.degrees[v] > 0]
     return sweep_set(g, g.spark.createDataFrame(scores, "id long, value double"))
 
 

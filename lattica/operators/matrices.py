@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import sys
+from typing import TextIO
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..graph import Graph
+from ..work import stage
+from .running import running_sums
 
 
 def adjacency(g: Graph) -> DataFrame:
@@ -69,6 +74,17 @@ def times_vector(matrix: DataFrame, vector: DataFrame) -> DataFrame:
     return matrix.join(v, "j").groupBy(F.col("i").alias("id")).agg(F.sum(F.col("value") * F.col("x")).alias("value"))
 
 
+def compressed_column_tables(matrix: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """Columns' starts (j, start) for j from 0 to n, and entries (place, i, value) in order of column and row; for matrices of any size."""
+    placed = running_sums(matrix.select("j", "i", "value"), [F.asc("j"), F.asc("i")], [])
+    entries = stage(placed.select((F.col("rank") - 1).alias("place"), "i", "j", "value"), "compressed-columns")
+    sizes = matrix.sparkSession.range(n).withColumnRenamed("id", "j").join(entries.groupBy("j").agg(F.count("*").cast("double").alias("size")), "j", "left")
+    ends = running_sums(sizes.select("j", F.coalesce("size", F.lit(0.0)).alias("size")), [F.asc("j")], ["size"])
+    ends = ends.select((F.col("j") + 1).alias("j"), F.col("size").cast("long").alias("start"))
+    first = matrix.sparkSession.createDataFrame([(0, 0)], "j long, start long")
+    return first.unionByName(ends), entries.select("place", "i", "value")
+
+
 def compressed_columns(matrix: DataFrame, n: int) -> tuple[list[int], list[int], list[float]]:
     """Column starts, row indices and values. For matrices that fit the driver."""
     rows = matrix.orderBy("j", "i").collect()
@@ -80,6 +96,12 @@ def compressed_columns(matrix: DataFrame, n: int) -> tuple[list[int], list[int],
     return starts, [r.i for r in rows], [r.value for r in rows]
 
 
+def print_vector(vector: DataFrame, file: TextIO | None = None) -> None:
+    """Writes the values of (id, value) in order of id, a line each, to a stream (standard error unless told). For vectors that one reads."""
+    for r in vector.orderBy("id").toLocalIterator():
+        print(r.value, file=file or sys.stderr)
+
+
 def dense_vector(vector: DataFrame, n: int) -> DataFrame:
     """(id, value) for ids 0 to n - 1, with 0 where the sparse vector has none."""
     if n < 1:

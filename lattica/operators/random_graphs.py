@@ -80,6 +80,13 @@ def general_sbm(spark: SparkSession, sizes: Sequence[int], p: Sequence[Sequence[
     return Graph(symmetrised(sbm_edges(spark, sizes, p, exact, seed)), sum(sizes))
 
 
+def expected_neighbours(spark: SparkSession, sizes: Sequence[int], p: Sequence[Sequence[float]]) -> DataFrame:
+    """(id, expected): how many neighbours a vertex of each drawn block has on average."""
+    _check(sizes, p)
+    rows = [(b, float(sum(s * q for s, q in zip(sizes, p[b], strict=True)))) for b in range(len(sizes))]
+    return general_sbm_labels(spark, sizes).join(F.broadcast(spark.createDataFrame(rows, "label long, expected double")), "label").select("id", "expected")
+
+
 def _blocks(n: int, k: int, p: float, q: float) -> tuple[list[int], list[list[float]]]:
     if n < 1:
         raise ValueError("there is at least one vertex")

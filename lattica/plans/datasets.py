@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..graph import Graph
+from ..graph import Graph, symmetrised
+from ..work import stage
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +44,24 @@ def user_event(spark: SparkSession, sf_dir: str) -> Graph:
     return Graph(_both(half), n_users + n_types)
 
 
+def customer_rings(spark: SparkSession, sf_dir: str) -> Graph:
+    """Customer c is vertex c; the customers of a nation, in order, are linked to those 1, 2, 4, ... places further round. So each nation is a component, and regular."""
+    customers = read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    of = Window.partitionBy("c_nationkey")  # a nation's share of the customers
+    placed = stage(customers.withColumn("place", F.row_number().over(of.orderBy("c_custkey")).cast("long") - 1).withColumn("size", F.count("*").over(of)), "customers-in-order")
+    steps = F.explode(F.array(*(F.lit(1 << k).cast("long") for k in range(41))))
+    links = placed.select("c_custkey", "c_nationkey", "size", "place", steps.alias("step")).filter("step < size")
+    ends = placed.select(F.col("c_custkey").alias("j"), "c_nationkey", F.col("place").alias("to"))
+    half = links.withColumn("to", (F.col("place") + F.col("step")) % F.col("size")).join(ends, ["c_nationkey", "to"]).select(F.col("c_custkey").alias("i"), "j", F.lit(1.0).alias("weight"))
+    return Graph(symmetrised(half), customers.count())
+
+
+def customer_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, x) of customers: the nation, far from others, and the account balance in units of ten thousand."""
+    x = F.array(100.0 * F.col("c_nationkey"), F.col("c_acctbal") / 10_000)
+    return read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), x.alias("x"))
+
+
 def embedding_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, x)."""
     return read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("x"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..graph import Graph
+from ..work import stage
 from .text import content_lines, is_comment, is_content, tokens, write_lines
 
 EDGE = "struct<u:long,v:long,weight:double>"
@@ -31,15 +32,14 @@ def load_edgelist(spark: SparkSession, path: str) -> Graph:
     return Graph.from_edges(_checked(read_edges(spark, path)).toDF("i", "j", "weight"))
 
 
-def _checked(edges: DataFrame) -> DataFrame:
-    """Runs the parser once, so a bad line gives its error here."""
+def _checked(parsed: DataFrame) -> DataFrame:
+    """The parsed lines, staged: the parser runs once, and a bad line gives its error here."""
     try:
-        edges.agg(F.max("u"), F.max("v"), F.max("weight")).first()
+        return stage(parsed, "parsed-lines")
     except Exception as e:  # Spark's error class for raise_error differs by mode
         if "no edge" in str(e) or "no list" in str(e):
             raise RuntimeError(f"a line can't be read: {str(e).splitlines()[0]}") from e
         raise
-    return edges
 
 
 def edge_line(u: Column, v: Column, weight: Column) -> Column:
