@@ -8,15 +8,13 @@ runs side by side.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import stage, text_slices
-from .words import ALPHANUMERIC, inside_texts, words
+from .words import ALPHANUMERIC, words
 
 #: Bytes of items in one automaton, which is broadcast (some 20 MB), and automata that one pass over the documents holds.
 ITEM_BYTES, PASS_AUTOMATA = 1 << 20, 8

@@ -242,6 +242,10 @@ def _by_rare_shingles(crowd: DataFrame, each: DataFrame, often: DataFrame, hundr
     In an order that all sets share, sets of sizes m and n with the similarity have an overlap of at least
     need = ceil(s * (m + n) / (1 + s)), so the first shingle they share lies where at least need - 1 follow on either side.
     Rare shingles come first, so what a copy has changed stands in front and common shingles seldom count.
+
+    A shingle brings the pairs of its holders only where it is among the rarest of both, at places that leave room, and where one of them
+    is in a small component or both are in unlike large ones: after the rounds before, nearly all of a crowd is one component, whose members
+    don't meet each other.
     """
     order = Window.partitionBy("v").orderBy("often", "shingle")
     placed = each.join(often, "shingle").withColumn("place", F.row_number().over(order))
