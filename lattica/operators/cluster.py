@@ -44,14 +44,13 @@ def sweep_profile(g, scores: DataFrame) -> DataFrame:
     A vertex changes the cut by its degree less twice the weight to itself and vertices before it, so running sums give the cuts.
     """
     scores = stage(scores.select("id", "value"), "sweep-scores")
-    near = g.neighbors_of(scores)
+    near = g.edges if isinstance(g, Graph) else g.neighbors_of(scores)
     key = lambda c: scores.select(F.col("id").alias(c), F.col("value").alias(f"value_{c}"))
-    pairs = near.join(key("i"), "i").join(key("j"), "j")
+    pairs = near.join(key("i"), "i").join(key("j"), "j", "left")  # a neighbour may have no score
     earlier = (F.col("value_j") > F.col("value_i")) | ((F.col("value_j") == F.col("value_i")) & (F.col("j") <= F.col("i")))
-    back = pairs.filter(earlier).groupBy("i").agg(F.sum("weight").alias("back"))
-    degree = near.groupBy("i").agg(F.sum(F.when(F.col("i") == F.col("j"), 2 * F.col("weight")).otherwise(F.col("weight"))).alias("volume"))
-    rows = scores.join(degree.join(back, "i", "left").withColumnRenamed("i", "id"), "id", "left")
-    rows = rows.select("id", "value", F.coalesce("volume", F.lit(0.0)).alias("volume"), (F.coalesce("volume", F.lit(0.0)) - 2 * F.coalesce("back", F.lit(0.0))).alias("cut"))
+    volume = F.sum(F.when(F.col("i") == F.col("j"), 2 * F.col("weight")).otherwise(F.col("weight")))
+    sums = pairs.groupBy(F.col("i").alias("id")).agg(volume.alias("volume"), F.coalesce(F.sum(F.when(earlier, F.col("weight"))), F.lit(0.0)).alias("back"))
+    rows = scores.join(sums, "id", "left").select("id", "value", F.coalesce("volume", F.lit(0.0)).alias("volume"), F.coalesce(F.col("volume") - 2 * F.col("back"), F.lit(0.0)).alias("cut"))
     return running_sums(rows, [F.desc("value"), F.asc("id")], ["cut", "volume"]).select("rank", "id", "cut", "volume")
 
 
