@@ -758,8 +758,9 @@ def local_cluster_acl(spark, sf_dir):
     return cluster.local_cluster_acl(barbell_graph(spark, 10), 0, 0.8, 0.0001)
 
 
-@query()
+@query("SELECT unnest(range(50))::BIGINT AS id")
 def local_cluster(spark, sf_dir):
+    """The block of a vertex, of four that are sparsely linked."""
     g = random_graphs.sbm(spark, 200, 4, 0.6, 0.005)
     return cluster.local_cluster(Graph(stage(g.edges, "sbm"), g.n), 10, 1500.0)
 
@@ -770,6 +771,18 @@ def approximate_pagerank(spark, sf_dir):
     return spark.createDataFrame([(v, p.get(v, 0.0), r.get(v, 0.0)) for v in sorted(r)], "id long, p double, r double")
 
 
+@query(graph_sql("SELECT id, CASE WHEN id = 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS seed, true AS below FROM d"))
+def approximate_pagerank_balance(spark, sf_dir):
+    """What a walk's seed must have been, from p and r of all vertices: r + (p - (1 - alpha) * walk(p)) / alpha. And whether r is below epsilon * degree."""
+    g, alpha, epsilon = ps(spark, sf_dir), 0.2, 0.00001
+    p, r = cluster.approximate_pagerank(g, {0: 1.0}, alpha, epsilon)
+    state = spark.createDataFrame([(v, p.get(v, 0.0), x) for v, x in r.items()], "id long, p double, r double")
+    walked = matrices.times_vector(matrices.lazy_random_walk_matrix(g), state.select("id", F.col("p").alias("value"))).withColumnRenamed("value", "walked")
+    all_ = g.degrees.join(state, "id", "left").join(walked, "id", "left").na.fill(0.0)
+    seed = F.col("r") + (F.col("p") - (1 - alpha) * F.col("walked")) / alpha
+    return rounded(all_.select("id", seed.alias("seed"), (F.col("r") < epsilon * F.col("degree")).alias("below")), "seed")
+
+
 _NATIONS = "SELECT c_custkey AS id, min(c_custkey) OVER (PARTITION BY c_nationkey) AS cluster FROM customer"
 
 
@@ -810,6 +823,21 @@ def kmeans(spark, sf_dir):
     return cluster.kmeans(datasets.embedding_points(spark, sf_dir), 10)
 
 
+@query("SELECT count(*) AS n, 10::BIGINT AS clusters, 0::BIGINT AS misplaced FROM embeddings")
+def kmeans_fixed_point(spark, sf_dir):
+    """Clusters of embeddings, and how many points lie nearer to the mean of another cluster than to that of their own."""
+    points = datasets.embedding_points(spark, sf_dir)
+    held = points.join(stage(cluster.kmeans(points, 10, rounds=1000), "kmeans-labels"), "id")
+    sums = held.select("label", F.posexplode("x").alias("k", "v")).groupBy("label", "k").agg(F.avg("v").alias("v")).orderBy("label", "k").collect()  # a row for each number of ten means
+    means: dict[int, list[float]] = {}
+    for r in sums:
+        means.setdefault(r.label, []).append(r.v)
+    far = F.create_map(*(y for c, m in means.items() for y in (F.lit(c).cast("long"), vectors.squared_distance(F.col("x"), F.lit(m)))))
+    far = held.select("label", far.alias("far"))
+    misplaced = F.count_if(F.col("far")[F.col("label")] > F.array_min(F.map_values("far")) + 1e-9)
+    return far.agg(F.count("*").alias("n"), F.lit(len(means)).cast("long").alias("clusters"), misplaced.alias("misplaced"))
+
+
 @query()
 def spectral_cluster_embeddings(spark, sf_dir):
     """The full similarity graph of all embeddings, in ten clusters."""
