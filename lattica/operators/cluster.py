@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..graph import Graph
 from ..work import stage
 from .kmeans import kmeans
+from .local_graph import StoredGraph
 from .running import running_sums
 from .spectrum import DENSE_VERTICES, GraphMatrix, Which, compute_eigensystem
 
@@ -81,7 +82,10 @@ class _Lists:
         self.g, self.held, self.degrees, self.near = g, {}, {}, set()
 
     def _entries(self, vertices) -> DataFrame:
-        return self.g.neighbors_of(self.g.spark.createDataFrame([(v,) for v in sorted(vertices)], "id long"))
+        ids = sorted(vertices)
+        if isinstance(self.g, StoredGraph):
+            return self.g.entries_of(ids)
+        return self.g.neighbors_of(self.g.spark.createDataFrame([(v,) for v in ids], "id long"))
 
     def look(self, vertices) -> None:
         missing = set(vertices) - self.degrees.keys()
