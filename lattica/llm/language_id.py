@@ -27,8 +27,10 @@ TRAINING_TEXTS = 400
 CENTROIDS = 4
 #: Classes of length are powers of two of signs, from the first to the last; shorter texts are never rejected.
 FIRST_CLASS, LAST_CLASS = 3, 14
-#: Of the least cosine of a training piece: what a text of its class must reach.
-MARGIN = 0.8
+#: Of the least cosine of a training piece: what a text of its class must reach. A class of fewer pieces takes over the limit of the class before.
+MARGIN, LEAST_PIECES = 0.8, 30
+#: No limit is above this cosine: long texts of a few words are near enough to the language of those.
+HIGHEST_LIMIT = 0.3
 
 
 class Model(NamedTuple):
@@ -182,12 +184,12 @@ def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col:
                     least += cosines.max(1).astype(float).tolist()
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(classes, pa.int32()), pa.array(least, pa.float64())], ["lang", "class", "least"])
 
-    found = counted.select("lang", "text").mapInArrow(nearest, "lang string, class int, least double").groupBy("lang", "class").agg(F.min("least").alias("least"))
-    least = {(r.lang, r["class"]): r.least for r in found.collect()}  # a row for each language and class
+    found = counted.select("lang", "text").mapInArrow(nearest, "lang string, class int, least double").groupBy("lang", "class").agg(F.min("least").alias("least"), F.count("*").alias("n"))
+    least = {(r.lang, r["class"]): r.least for r in found.collect() if r.n >= LEAST_PIECES}  # a row for each language and class
     limits = np.zeros((len(languages), LAST_CLASS - FIRST_CLASS + 2))
     for i, name in enumerate(languages):
-        for k in range(1, limits.shape[1]):  # a class that no piece has takes over the one before
-            limits[i, k] = MARGIN * least[name, k] if (name, k) in least else limits[i, k - 1]
+        for k in range(1, limits.shape[1]):
+            limits[i, k] = min(HIGHEST_LIMIT, MARGIN * least[name, k]) if (name, k) in least else limits[i, k - 1]
     return Model(languages, matrix, idf, limits)
 
 
