@@ -60,3 +60,27 @@ def test_stored_graphs_are_read_by_filter(spark, tmp_path, monkeypatch, filtered
     if filtered:
         plan = stored.entries_of([1, 2])._jdf.queryExecution().toString()
         assert "GreaterThanOrEqual(i,1)" in plan
+
+
+def test_staged_tables_are_cleared(spark, tmp_path):
+    from lattica import work
+
+    old = spark.conf.get("spark.checkpoint.dir")
+    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}/shared")
+    try:
+        assert work.stage(spark.range(3), "some").count() == 3
+        assert list(tmp_path.rglob("*.parquet"))
+        work.clear(spark)
+        assert not list(tmp_path.rglob("*.parquet"))
+    finally:
+        spark.conf.set("spark.checkpoint.dir", old)
+
+
+def test_clusters_need_a_shared_folder():
+    from types import SimpleNamespace
+
+    from lattica import work
+
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="yarn", applicationId="x"))
+    with pytest.raises(RuntimeError):
+        work.shared_folder(session)
