@@ -12,21 +12,25 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Folders of local sessions without spark.checkpoint.dir, by application; Spark lets no session set it later.
+_TEMPORARY: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """This application's folder below spark.checkpoint.dir, which all executors see.
 
     Where that is unset, a local session (as in tests) gets a temporary folder, which goes when the process ends; on a cluster
     no folder of one machine would do, so there it raises.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or _TEMPORARY.get(context.applicationId)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not context.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="lattica-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        base = f"file://{folder}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/lattica/{spark.sparkContext.applicationId}"
+        base = _TEMPORARY[context.applicationId] = f"file://{folder}"
+    return f"{base.rstrip('/')}/lattica/{context.applicationId}"
 
 
 def shared_path(spark: SparkSession, name: str) -> str:

@@ -62,25 +62,22 @@ def test_stored_graphs_are_read_by_filter(spark, tmp_path, monkeypatch, filtered
         assert "GreaterThanOrEqual(i,1)" in plan
 
 
-def test_staged_tables_are_cleared(spark, tmp_path):
+def test_staged_tables_are_cleared(spark, tmp_path, monkeypatch):
     from lattica import work
 
-    old = spark.conf.get("spark.checkpoint.dir")
-    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}/shared")
-    try:
-        assert work.stage(spark.range(3), "some").count() == 3
-        assert list(tmp_path.rglob("*.parquet"))
-        work.clear(spark)
-        assert not list(tmp_path.rglob("*.parquet"))
-    finally:
-        spark.conf.set("spark.checkpoint.dir", old)
+    monkeypatch.setattr(work, "shared_folder", lambda _: f"file://{tmp_path}/shared")
+    assert work.stage(spark.range(3), "some").count() == 3
+    assert list(tmp_path.rglob("*.parquet"))
+    work.clear(spark)
+    assert not list(tmp_path.rglob("*.parquet"))
 
 
-def test_clusters_need_a_shared_folder():
+def test_only_local_sessions_go_without_a_shared_folder():
     from types import SimpleNamespace
 
     from lattica import work
 
-    session = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="yarn", applicationId="x"))
+    session = lambda master: SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master=master, applicationId=f"test-{master}"))
     with pytest.raises(RuntimeError):
-        work.shared_folder(session)
+        work.shared_folder(session("yarn"))
+    assert work.shared_folder(session("local[2]")) == work.shared_folder(session("local[2]"))
