@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,8 +19,9 @@ def parse_numbers(line: Column) -> Column:
 
 
 def load_matrix(spark: SparkSession, path: str) -> DataFrame:
-    """(id, x) of the content lines, numbered from 0 in the file's order; rows of unlike size give a RuntimeError."""
-    lines = content_lines(spark, path).select(F.monotonically_increasing_id().alias("k"), parse_numbers(F.col("value")).alias("x"))
+    """(id, x) of the content lines, numbered from 0 in the file's order, or that of a folder's files by name; rows of unlike size give a RuntimeError."""
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")]
+    lines = content_lines(spark, path).select(*place, F.monotonically_increasing_id().alias("k"), parse_numbers(F.col("value")).alias("x"))
     sizes = lines.agg(F.min(F.size("x")).alias("least"), F.max(F.size("x")).alias("most")).first()
     if sizes.least != sizes.most:
         raise RuntimeError("the matrix has rows of unlike size")
@@ -26,15 +29,18 @@ def load_matrix(spark: SparkSession, path: str) -> DataFrame:
 
 
 def numbered(rows: DataFrame) -> DataFrame:
-    """(id, x) for rows (k, x), where k is the partition in its high bits and the place in its low 33: ids from 0 without gaps."""
-    part = F.shiftright("k", 33)
-    counts = rows.groupBy(part.alias("part")).count().orderBy("part").collect()  # a row for each partition
+    """(id, x) for rows (file, block, k, x): ids from 0 without gaps, by file, block and k.
+
+    Blocks are read whole and in order, but Spark deals them to its partitions by size, so these say nothing of the order.
+    """
+    by_name = lambda r: ([int(t) if t.isdecimal() else t for t in re.split(r"(\d+)", r.file)], r.block)
+    blocks = rows.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("k").alias("first")).collect()  # a row for each block
     begins, at = [], 0
-    for r in counts:
-        begins.append((r.part, at))
-        at += r["count"]
-    starts = rows.sparkSession.createDataFrame(begins, "part long, begin long")
-    return rows.withColumn("part", part.cast("long")).join(F.broadcast(starts), "part").select((F.col("begin") + F.col("k").bitwiseAND((1 << 33) - 1)).alias("id"), "x")
+    for r in sorted(blocks, key=by_name):
+        begins.append((r.file, r.block, at - r.first))
+        at += r.n
+    starts = rows.sparkSession.createDataFrame(begins, "file string, block long, shift long")
+    return rows.join(F.broadcast(starts), ["file", "block"]).select((F.col("k") + F.col("shift")).alias("id"), "x")
 
 
 def row_text(x: Column) -> Column:
