@@ -3,6 +3,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from lattica import catalog
 from lattica.graph import EDGE_SCHEMA, Graph
@@ -58,7 +59,9 @@ def test_entries_of_similarities_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(blocks, "BLOCK_ROWS", 40)
     ids = np.arange(0, 450, 3)
     x, points = points_of_groups(spark, ids)
-    edges = kde.similarity_graph(points, 4.0).edges.toPandas()
+    edges = kde.similarity_graph(points, 4.0).edges
+    assert "Exchange" not in edges._jdf.queryExecution().executedPlan().toString()  # rows that are moved once per block grow with the square
+    edges = edges.toPandas()
     w = np.exp(-4.0 * ((x[:, None] - x[None]) ** 2).sum(2))
     got = np.zeros_like(w)
     got[edges.i // 3, edges.j // 3] = edges.weight
@@ -87,3 +90,9 @@ def test_tables_of_vertices_are_not_broadcast(spark, sf_dir):
     rings = datasets.customer_rings(spark, sf_dir)
     for rows in (rings.edges, traversal.connected_components(rings)):
         assert "Broadcast" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_millionths_are_rounded_as_decimals_are(spark):
+    x = np.concatenate([np.exp(-np.linspace(0, 23, 3000)), [1.0, 0.0, 5e-7, 4.9e-7, 0.1234565]])
+    rows = spark.createDataFrame([(float(v),) for v in x], "weight double").withColumn("v", F.col("weight"))
+    assert all(r.weight == r.v for r in catalog.rounded(catalog.rounded_fast(rows, "weight"), "v").collect())
