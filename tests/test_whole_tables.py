@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lattica import catalog
-from lattica.operators import lsh
+from lattica.operators import kde, lsh
 
 
 @pytest.fixture(scope="module")
@@ -53,3 +53,39 @@ def test_near_neighbours_of_many_copies(spark):
     ids = 2999 * 3000 // 2
     assert parts.sum().tolist()[1:] == [3000**2, 3000 * ids, 3000 * ids, ids**2]
     assert parts.n.max() < 3000**2 / 2
+
+
+@pytest.mark.parametrize("waiting", [kde.WAITING_PAIRS, 1000])
+def test_similarity_graph_is_stored_in_few_bytes(spark, tmp_path, monkeypatch, waiting):
+    """Both directions of all pairs and loops, once each, at less than half of the 9 bytes a row that numbers in plain order take."""
+    monkeypatch.setattr(kde, "WAITING_PAIRS", waiting)
+    x = np.random.default_rng(5).standard_normal((2300, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x[7] = x[8]
+    ids = np.arange(2300) * 3
+    pd.DataFrame({"id": ids, "x": list(x)}).to_parquet(tmp_path / "points.parquet")
+    edges = kde.similarity_graph(spark.read.parquet(str(tmp_path / "points.parquet")), 1.0).edges
+    catalog.rounded_fast(edges, "weight").coalesce(1).write.parquet(str(tmp_path / "edges"))
+    got = pd.read_parquet(tmp_path / "edges")
+    assert len(got) == 2300**2 == len(got[["i", "j"]].drop_duplicates())
+    want = np.exp(-((x**2).sum(1)[:, None] + (x**2).sum(1) - 2 * x @ x.T))
+    assert np.abs(got.weight - want[got.i // 3, got.j // 3]).max() < 1e-6
+    if waiting > 1000:
+        assert sum(f.stat().st_size for f in (tmp_path / "edges").glob("*.parquet")) < 4.5 * len(got)
+
+
+@pytest.mark.parametrize("waiting", [1, 50, 1 << 22])
+def test_layout_gives_each_pair_both_ways(monkeypatch, waiting):
+    monkeypatch.setattr(kde, "WAITING_PAIRS", waiting)
+    rng = np.random.default_rng(6)
+    i, j, layout, want = np.arange(40), np.arange(100, 301), kde.Layout(), set()
+    batches = list(layout.add(i, j, np.zeros((40, 201))))
+    for k, same in enumerate((None, rng.random(40))):
+        w = rng.random((40, 201)) * (rng.random((40, 201)) < 0.7)
+        batches += layout.add(i, j + 1000 * k, w, same)
+        r, c = np.nonzero(w)
+        want |= {t for a, b, v in zip(i[r].tolist(), (j[c] + 1000 * k).tolist(), w[r, c].tolist(), strict=True) for t in ((a, b, v), (b, a, v))}
+        want |= set() if same is None else {(a, a, v) for a, v in zip(i.tolist(), same.tolist(), strict=True)}
+    batches += layout.rest()
+    got = [tuple(r.values()) for b in batches for r in b.to_pylist()]
+    assert len(got) == len(want) and set(got) == want
