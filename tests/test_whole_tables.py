@@ -2,6 +2,7 @@
 
 import numpy as np
 import pandas as pd
+import pyarrow.parquet as pq
 import pytest
 
 from pyspark.sql import functions as F
@@ -89,3 +90,32 @@ def test_layout_gives_each_pair_both_ways(monkeypatch, waiting):
     batches += layout.rest()
     got = [tuple(r.values()) for b in batches for r in b.to_pylist()]
     assert len(got) == len(want) and set(got) == want
+
+
+def test_layout_gives_equal_waiting_weights_together():
+    """Weights outside the common range change as often as there are different ones, not with every piece."""
+    rng = np.random.default_rng(7)
+    i, j, layout = np.arange(100), np.arange(100, 700), kde.Layout()
+    w = 0.3 + 0.1 * rng.random((100, 600))
+    rare = rng.random(w.shape) < 0.1
+    w[rare] = rng.choice([0.01, 0.02, 0.7, 0.8], rare.sum())
+    batches = [*layout.add(i, j, w, np.ones(100)), *layout.rest()]
+    got = pd.concat([b.to_pandas() for b in batches], ignore_index=True)
+    assert len(got) == len(got[["i", "j"]].drop_duplicates()) == 2 * w.size + 100
+    both = got[got.i != got.j]
+    assert (both.weight == w[both[["i", "j"]].min(axis=1), both[["i", "j"]].max(axis=1) - 100]).all()
+    last = got.weight[got.weight.isin([0.01, 0.02, 0.7, 0.8])]
+    assert len(last) == 2 * rare.sum() and (last.diff().fillna(0) != 0).sum() == 3
+
+
+def test_ids_of_a_similarity_graph_are_stored_in_few_bytes(spark, tmp_path):
+    x = np.random.default_rng(8).standard_normal((2000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    pd.DataFrame({"id": np.arange(2000), "x": list(x)}).to_parquet(tmp_path / "points.parquet")
+    edges = kde.similarity_graph(spark.read.parquet(str(tmp_path / "points.parquet")), 1.0).edges
+    catalog.rounded_fast(edges, "weight").coalesce(1).write.parquet(str(tmp_path / "edges"))
+    (file,) = (tmp_path / "edges").glob("*.parquet")
+    meta = pq.ParquetFile(file).metadata
+    assert meta.num_rows == 2000**2
+    size = [sum(meta.row_group(g).column(c).total_compressed_size for g in range(meta.num_row_groups)) / meta.num_rows for c in (0, 1)]
+    assert max(size) < 0.36
