@@ -119,3 +119,20 @@ def test_ids_of_a_similarity_graph_are_stored_in_few_bytes(spark, tmp_path):
     assert meta.num_rows == 2000**2
     size = [sum(meta.row_group(g).column(c).total_compressed_size for g in range(meta.num_row_groups)) / meta.num_rows for c in (0, 1)]
     assert max(size) < 0.36
+
+
+def test_layout_keeps_small_large_and_negative_ids():
+    i, j, layout = np.arange(30), np.arange(100, 160), kde.Layout()
+    list(layout.add(i, j, np.ones((30, 60))))
+    assert len(layout.waiting) == 1 and sum(x.itemsize for x in layout.waiting[0]) == 16
+    layout = kde.Layout()
+    rng = np.random.default_rng(9)
+    batches, want = [], set()
+    for shift in (0, 1 << 40, -(1 << 50)):
+        w = rng.random((30, 60))
+        batches += layout.add(i + shift, j + shift, w)
+        want |= {t for a in range(30) for b in range(60) for t in ((a + shift, b + 100 + shift, w[a, b]), (b + 100 + shift, a + shift, w[a, b]))}
+    batches += layout.rest()
+    got = [tuple(r.values()) for b in batches for r in b.to_pylist()]
+    assert len(got) == len(want) and set(got) == want
+    assert {str(b.schema.field("i").type) for b in batches} == {"int64"}
